@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import encoding, leaks
+from . import encoding, leaks, spam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +31,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spam.list_shares(table(spark, d, "documents"))
