@@ -35,7 +35,7 @@ r AS (SELECT r_regionkey + 4000000000000000 AS id, * FROM region)
 """
 #: The cleaned graph of nodes, edges and node_annos.
 _GRA = """WITH RECURSIVE nd AS (SELECT node_id, min(corpus_ref) AS corpus_ref, min(text_id) AS text_id, min(token_index) AS pos, min(left_token) AS l, min(right_token) AS r FROM nodes GROUP BY node_id),
-a AS (SELECT node_id AS id, anno_ns AS ns, anno_name AS name, min(trim(val)) AS value FROM node_annos JOIN anno_keys USING (anno_key) WHERE trim(val) NOT IN ('', 'NULL') GROUP BY ALL),
+a AS (SELECT node_id AS id, anno_ns AS ns, anno_name AS name, min(trim(val, ' ' || chr(9) || chr(160))) AS value FROM node_annos JOIN anno_keys USING (anno_key) WHERE trim(val, ' ' || chr(9) || chr(160)) NOT IN ('', 'NULL') GROUP BY ALL),
 d AS (SELECT DISTINCT source, target FROM edges WHERE ctype = 'Dominance' AND cname = '' AND source IS NOT NULL AND target IS NOT NULL)
 """
 

@@ -144,7 +144,7 @@ def count_extra(graph: Graph, query: Query | str, quirks: bool = False) -> DataF
     """Matches, and documents that hold the first node of some match."""
     rows = execute(graph, query, quirks).select("corpus", "m1")
     docs = graph.anno.filter((F.col("ns") == ANNIS) & (F.col("name") == "doc")).select("corpus", F.col("node_id").alias("target")).distinct()
-    above = pairs(graph.component("PartOf"), ANY_DISTANCE).join(docs, ["corpus", "target"], "left_semi").select(F.col("corpus").alias("_c"), F.col("source").alias("_s"), F.col("target").alias("doc"))
+    above = pairs(graph.component("PartOf"), ANY_DISTANCE, depth=graph.depth.get("PartOf")).join(docs, ["corpus", "target"], "left_semi").select(F.col("corpus").alias("_c"), F.col("source").alias("_s"), F.col("target").alias("doc"))
     perm = rows.groupBy("corpus", "m1").agg(F.count(F.lit(1)).alias("n"))
     held = perm.join(above, (F.col("corpus") == F.col("_c")) & (F.col("m1") == F.col("_s"))).select("corpus", "doc").distinct().agg(F.count(F.lit(1)).alias("n_documents"))
     return perm.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches")).crossJoin(F.broadcast(held))

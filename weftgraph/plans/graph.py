@@ -37,6 +37,10 @@ class Graph:
     edge: DataFrame
     edge_anno: DataFrame
     derive: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    #: Of component types known to be without cycles, the steps of their longest path
+    depth: dict[str, int] = field(default_factory=dict)
+    #: Whether an edge may come in several layers of one component name, so that pairs must be made distinct
+    layered: bool = True
 
     @cached_property
     def tok_pos(self) -> DataFrame:

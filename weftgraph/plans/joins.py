@@ -75,7 +75,7 @@ def edge_pairs(graph: Graph, op: Operator, starts: DataFrame | None = None) -> D
     if op.edge is not None:
         labels = graph.edge_anno.filter((F.col("ctype") == ctype) & (F.col("cname") == op.name)).filter(edge_condition(op.edge))
         return labels.select("corpus", "source", "target").distinct()
-    return pairs(edges, op.dist, starts)
+    return pairs(edges, op.dist, starts, depth=graph.depth.get(ctype), layered=graph.layered)
 
 
 def _joined(left: DataFrame, right: DataFrame, cond: Column) -> DataFrame:

@@ -18,24 +18,55 @@ from ..session import cut
 
 #: A walk within a bounded range carries its path up to this length.
 LONGEST_PATH = 64
+#: Up to so many steps a walk is one plan of joins, without writing between them.
+UNROLLED = 6
 
 
-def pairs(edges: DataFrame, dist: Range, starts: DataFrame | None = None, single_parent: bool | None = None) -> DataFrame:
-    """Distinct (corpus, source, target) with a path of ``dist`` steps; ``starts`` (corpus, source) limits the sources."""
-    direct = edges.select("corpus", "source", "target").na.drop(subset=["source", "target"]).dropDuplicates()
+def pairs(edges: DataFrame, dist: Range, starts: DataFrame | None = None, single_parent: bool | None = None, depth: int | None = None, layered: bool = True) -> DataFrame:
+    """Distinct (corpus, source, target) with a path of ``dist`` steps.
+
+    ``starts`` (corpus, source) limits the sources; ``depth`` is the longest
+    path of a component known to be without cycles; without ``layered`` the
+    edges are distinct already.
+    """
+    direct = edges.select("corpus", "source", "target").na.drop(subset=["source", "target"])
+    if layered:
+        direct = direct.dropDuplicates()
     if dist.high is not None and dist.high < dist.low:
         return direct.limit(0)
     if dist.low == 1 and dist.high == 1:
         return direct
-    if single_parent is None:
-        single_parent = not direct.groupBy("corpus", "target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() and direct.select("corpus").distinct().limit(2).count() < 2
-    found = _by_paths(direct, dist) if single_parent else _by_steps(direct, dist, starts)
+    if depth is not None and depth <= UNROLLED and (dist.high is None or dist.high > depth):
+        dist = Range(dist.low, depth)
+    if dist.high is not None and dist.high < max(dist.low, 1):
+        found = direct.limit(0)
+    elif dist.high is not None and dist.high <= UNROLLED and depth is not None:
+        found = _unrolled(direct, dist, starts)
+    elif dist.high is not None and dist.high <= UNROLLED:
+        found = _by_steps(direct, dist, starts)
+    else:
+        if single_parent is None:
+            seen = direct.groupBy("corpus", "target").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("corpus").alias("a"), F.max("corpus").alias("b")).first()
+            single_parent = (seen.n or 0) <= 1 and seen.a == seen.b
+        found = _by_paths(direct, dist) if single_parent else _by_steps(direct, dist, starts)
     if dist.low == 0:
         ends = direct.select("corpus", F.col("source").alias("n")).unionByName(direct.select("corpus", F.col("target").alias("n"))).distinct()
         found = found.unionByName(ends.select("corpus", F.col("n").alias("source"), F.col("n").alias("target"))).distinct()
     return found
 
 
+def _unrolled(direct: DataFrame, dist: Range, starts: DataFrame | None) -> DataFrame:
+    """Chained joins of a component without cycles; a step needs no path to look back on."""
+    nxt = direct.select("corpus", F.col("source").alias("at"), F.col("target").alias("to"))
+    walk = direct if starts is None else direct.join(starts.select("corpus", "source").distinct(), ["corpus", "source"], "left_semi")
+    out = walk if dist.low <= 1 else None
+    for length in range(2, dist.high + 1):
+        walk = walk.select("corpus", "source", F.col("target").alias("at")).join(nxt, ["corpus", "at"]).select("corpus", "source", F.col("to").alias("target"))
+        if length >= dist.low:
+            out = walk if out is None else out.unionByName(walk)
+    return out.distinct()
+
+
 def _by_paths(direct: DataFrame, dist: Range) -> DataFrame:
     corpus = direct.select("corpus").first()
     tree = cut(forest(direct, "target", "source", paths=True))
@@ -62,12 +93,15 @@ def _by_steps(direct: DataFrame, dist: Range, starts: DataFrame | None) -> DataF
     walk = begin.filter("source <> target").select("corpus", "source", F.col("target").alias("at"), F.array("source", "target").alias("path"))
     out = walk.select("corpus", "source", F.col("at").alias("target")) if dist.low <= 1 else None
     length = 1
+    unrolled = dist.high is not None and dist.high <= UNROLLED
     while (dist.high is None or length < dist.high) and length < LONGEST_PATH:
-        walk = cut(walk.join(nxt, ["corpus", "at"]).filter(~F.array_contains("path", F.col("to"))).select("corpus", "source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")))
+        walk = walk.join(nxt, ["corpus", "at"]).filter(~F.array_contains("path", F.col("to"))).select("corpus", "source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         length += 1
+        if not unrolled:
+            walk = cut(walk)
         if length >= dist.low:
             hit = walk.select("corpus", "source", F.col("at").alias("target"))
             out = hit if out is None else out.unionByName(hit)
-        if not walk.limit(1).count():
+        if not unrolled and not walk.limit(1).count():
             break
     return direct.limit(0) if out is None else out.distinct()

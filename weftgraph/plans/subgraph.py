@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..aql.model import ANY_DISTANCE, Query
+from ..session import cut
 from .execute import execute, widths
 from .graph import ANNIS, Graph
 from .reach import pairs
@@ -25,7 +26,7 @@ def matched_nodes(matches: DataFrame) -> DataFrame:
 
 def among(graph: Graph, keep: DataFrame, ctypes: list[str] | None = None, gaps: DataFrame | None = None) -> Graph:
     """The graph of the nodes ``keep`` and the edges between them, without derived components."""
-    keep = keep.select("corpus", "node_id").distinct()
+    keep = cut(keep.select("corpus", "node_id").distinct())
     of = lambda df: df.join(keep, ["corpus", "node_id"], "left_semi")
     edges = graph.edge.filter(~F.col("ctype").isin(*_DERIVED_TYPES) & (F.col("cname") != _INHERITED))
     if ctypes is not None:
@@ -42,7 +43,7 @@ def among(graph: Graph, keep: DataFrame, ctypes: list[str] | None = None, gaps:
 
 def _ancestors(graph: Graph, nodes: DataFrame) -> DataFrame:
     part_of = graph.component("PartOf")
-    above = pairs(part_of, ANY_DISTANCE, nodes.select("corpus", F.col("node_id").alias("source")))
+    above = pairs(part_of, ANY_DISTANCE, nodes.select("corpus", F.col("node_id").alias("source")), depth=graph.depth.get("PartOf"))
     return above.join(nodes.select("corpus", F.col("node_id").alias("source")).distinct(), ["corpus", "source"], "left_semi").select("corpus", F.col("target").alias("node_id")).distinct()
 
 
@@ -74,10 +75,10 @@ def context(graph: Graph, matches: DataFrame, left: int, right: int, seg: str |
     nodes = matched_nodes(matches)
     win = windows(graph, nodes, left, right, seg)
     at = win.select("corpus", "chain_id", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
-    toks = graph.tok_pos.filter("seg = ''").join(at, ["corpus", "chain_id", "pos"]).select("corpus", "chain_id", "pos", "node_id")
+    toks = cut(graph.tok_pos.filter("seg = ''").join(at, ["corpus", "chain_id", "pos"]).select("corpus", "chain_id", "pos", "node_id"))
     shown = toks.select("corpus", F.col("node_id").alias("tok_id")).distinct()
     covering = graph.coverage.join(shown, ["corpus", "tok_id"], "left_semi").select("corpus", "node_id")
-    body = toks.select("corpus", "node_id").unionByName(covering).unionByName(nodes).distinct()
+    body = cut(toks.select("corpus", "node_id").unionByName(covering).unionByName(nodes).distinct())
     keep = body.unionByName(_ancestors(graph, body))
     by_pos = Window.partitionBy("corpus", "chain_id").orderBy("pos")
     steps = toks.withColumn("before", F.lag("pos").over(by_pos)).withColumn("source", F.lag("node_id").over(by_pos)).filter(F.col("pos") - F.col("before") > 1)
@@ -93,7 +94,7 @@ def for_query(graph: Graph, query: Query | str, ctypes: list[str] | None = None)
 def subcorpus(graph: Graph, names: list[str]) -> Graph:
     """The (sub)corpora named, and all nodes and datasources below them."""
     roots = graph.node.filter(F.col("node_name").isin(names)).select("corpus", F.col("node_id").alias("target"))
-    below = pairs(graph.component("PartOf"), ANY_DISTANCE).join(roots, ["corpus", "target"], "left_semi").select("corpus", F.col("source").alias("node_id"))
+    below = pairs(graph.component("PartOf"), ANY_DISTANCE, depth=graph.depth.get("PartOf")).join(roots, ["corpus", "target"], "left_semi").select("corpus", F.col("source").alias("node_id"))
     kinds = graph.node.filter(F.col("node_type").isin("node", "datasource", "corpus")).select("corpus", "node_id")
     return among(graph, below.join(kinds, ["corpus", "node_id"], "left_semi").unionByName(roots.withColumnRenamed("target", "node_id")))
 

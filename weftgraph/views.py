@@ -11,13 +11,14 @@ tokens stand in the chain of their text.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .functions.values import BLANKS
 from .plans.graph import ANNIS, SCHEMAS, Graph
 from .tables import table
 
@@ -27,9 +28,8 @@ ORDER, CUSTOMER, NATION, REGION, SUPPLIER, PART = (k * 1_000_000_000_000_000 for
 
 
 def _labels(df: DataFrame, corpus: str, node: Column, *labels: tuple[str, str, Column]) -> DataFrame:
-    """One row for each label of each row, from one pass over it."""
-    each = F.array(*[F.struct(F.lit(ns).alias("ns"), F.lit(name).alias("name"), value.cast("string").alias("value")) for ns, name, value in labels])
-    return df.select(F.lit(corpus).alias("corpus"), node.cast("bigint").alias("node_id"), F.explode(each).alias("x")).select("corpus", "node_id", "x.ns", "x.name", "x.value").filter("value is not null")
+    """The labels of each row, one projection for each key: a search by name then reads only its own columns, and its condition reaches the scan."""
+    return _all(*[df.select(F.lit(corpus).alias("corpus"), node.cast("bigint").alias("node_id"), F.lit(ns).alias("ns"), F.lit(name).alias("name"), value.cast("string").alias("value")).filter("value is not null") for ns, name, value in labels])
 
 
 def _edges(df: DataFrame, corpus: str, ctype: str, layer: str, cname: str, source: Column, target: Column) -> DataFrame:
@@ -65,6 +65,7 @@ def _wide_spans(members: DataFrame) -> DataFrame:
     return one.select("corpus", "node_id", F.lit(False).alias("is_token"), "chain_id", F.col("a.pos").alias("left_pos"), F.col("b.pos").alias("right_pos"), F.col("a.tok_id").alias("left_tok"), F.col("b.tok_id").alias("right_tok"))
 
 
+@lru_cache(maxsize=16)
 def events_graph(spark: SparkSession, d: str) -> Graph:
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -109,9 +110,10 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
         own = ev.select(F.lit(c).alias("corpus"), F.col("event_id").alias("node_id"), F.col("event_id").alias("tok_id"))
         return own.unionByName(seq.select(F.lit(c).alias("corpus"), F.col("session_id").alias("node_id"), F.col("event_id").alias("tok_id")))
 
-    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chain, "span": spans, "coverage": coverage})
+    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chain, "span": spans, "coverage": coverage}, {"PartOf": 2}, False)
 
 
+@lru_cache(maxsize=16)
 def orders_graph(spark: SparkSession, d: str) -> Graph:
     li, orders, customer, nation, region, supplier, part = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region", "supplier", "part"))
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
@@ -155,9 +157,10 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
     def coverage() -> DataFrame:
         return li.select(F.lit(c).alias("corpus"), item.alias("node_id"), item.alias("tok_id")).unionByName(li.select(F.lit(c).alias("corpus"), line_order.alias("node_id"), item.alias("tok_id")))
 
-    return Graph(node, anno, edge, edge_anno, {"tok_pos": chain, "span": spans, "coverage": coverage})
+    return Graph(node, anno, edge, edge_anno, {"tok_pos": chain, "span": spans, "coverage": coverage}, {"Dominance": 4}, False)
 
 
+@lru_cache(maxsize=16)
 def corpus_graph(spark: SparkSession, d: str) -> Graph:
     nodes, edges, annos, keys = (table(spark, d, t) for t in ("nodes", "edges", "node_annos", "anno_keys"))
     own = nodes.groupBy("node_id").agg(*[F.min(c).alias(c) for c in ("corpus_ref", "text_id", "node_name", "token_index", "left_token", "right_token", "span_text")])
@@ -167,7 +170,8 @@ def corpus_graph(spark: SparkSession, d: str) -> Graph:
     toks = placed.filter("token_index is not null")
     node = _nodes(own, c, F.col("node_id"), F.concat(F.lit("gra/"), F.coalesce(F.col("corpus_ref").cast("string"), F.lit("")), F.lit("#"), F.coalesce("node_name", F.lit("")), F.lit("_"), F.col("node_id")))
     named = annos.join(F.broadcast(keys) if keys.limit(100_001).count() <= 100_000 else keys, "anno_key")
-    value = F.when(~F.trim("val").isin("", "NULL"), F.trim("val"))
+    trimmed = F.btrim(F.col("val"), F.lit(BLANKS))
+    value = F.when(~trimmed.isin("", "NULL"), trimmed)
     labels = named.select("node_id", F.col("anno_ns").alias("ns"), F.col("anno_name").alias("name"), value.alias("value")).filter("value is not null").groupBy("node_id", "ns", "name").agg(F.min("value").alias("value"))
     anno = labels.select(F.lit(c).alias("corpus"), "node_id", "ns", "name", "value").unionByName(_labels(own.filter("token_index is not null"), c, F.col("node_id"), (ANNIS, "tok", F.col("span_text"))))
     edge = edges.filter("source is not null and target is not null and ctype <> 'PartOf'").select(F.lit(c).alias("corpus"), "ctype", F.col("anno_layer").alias("layer"), "cname", "source", "target").dropDuplicates()
