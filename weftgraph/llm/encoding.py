@@ -83,14 +83,15 @@ class Automaton:
         self.born = {}  # token: the number of the gadget that made it
         self.parts = {}  # token: the two tokens of its gadget
         self.gadget = {}  # (left, right): number of the gadget that takes this arc away
+        base = {words.index(bytes([b])) for b in range(256)}
         for k, (a, b, made) in enumerate(merges):
-            self.gadget.setdefault((a, b), k)
-            if made not in self.born:
+            # where no arc a->b is left the gadget finds nothing to join
+            if made not in self.born and all(x in base or x in self.born for x in (a, b)) and self._arc(a, b, k):
                 self.born[made], self.parts[made] = k, (a, b)
+            self.gadget.setdefault((a, b), k)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.trie: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
-        base = {words.index(bytes([b])) for b in range(256)}
         for t in base | set(self.parts):
             at = 0
             for byte in words[t]:
@@ -109,8 +110,8 @@ class Automaton:
             known = self.arcs[s, t] = self._arc(s, t)
         return known
 
-    def _arc(self, s: int, t: int) -> bool:
-        before = _NEVER  # gadgets from this number on come too late to join s and t
+    def _arc(self, s: int, t: int, before: int = _NEVER) -> bool:
+        """``before``: gadgets from this number on come too late to join s and t."""
         while True:
             if self.gadget.get((s, t), _NEVER) < before:
                 return False
