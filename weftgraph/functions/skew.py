@@ -15,26 +15,23 @@ HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """The keys of ``df`` with over ``hot_rows`` rows, the largest first, at most MAX_HOT of them.
+def key_hash(on: Sequence[str]) -> Column:
+    """A hash of the key's written form, the same on both sides of a join whatever their integer types."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in on])
 
-    Counted with map-side combination, so the hot keys themselves cost one row a task.
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys of ``df`` with over ``hot_rows`` rows, the largest first, at most MAX_HOT of them.
+
+    Counted with map-side combination, so the hot keys themselves cost one row
+    a task. A key that shares a hash with a hot one is only spread as well.
     """
-    counts = df.select(*on).na.drop().groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
-    return [tuple(r[c] for c in on) for r in rows]
+    counts = df.select(*on).na.drop().groupBy(key_hash(on).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    return [r._h for r in counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT).collect()]
 
 
-def _is_hot(on: Sequence[str], hot: list[tuple]) -> Column:
-    if len(on) == 1:
-        return F.coalesce(F.col(on[0]).isin([h[0] for h in hot]), F.lit(False))
-    any_of = F.lit(False)
-    for h in hot:
-        each = F.lit(True)
-        for c, v in zip(on, h):
-            each = each & (F.col(c) == F.lit(v))
-        any_of = any_of | each
-    return F.coalesce(any_of, F.lit(False))
+def is_hot(on: Sequence[str], hot: list[int]) -> Column:
+    return key_hash(on).isin(hot)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", extra: Column | None = None, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
@@ -52,12 +49,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         null = null | F.col(c).isNull()
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     alone = how in ("left", "left_anti")
-    lhs = left.withColumn("_salt", F.when(_is_hot(on, hot) | null if hot else null, spread).otherwise(0)) if alone or hot else left.withColumn("_salt", F.lit(0))
+    lhs = left.withColumn("_salt", F.when(is_hot(on, hot) | null if hot else null, spread).otherwise(0)) if alone or hot else left.withColumn("_salt", F.lit(0))
     names = {c: f"_r_{c}" for c in on}
     rhs = right.withColumnsRenamed(names)
     if hot:
-        is_hot = _is_hot([names[c] for c in on], hot)
-        rhs = rhs.withColumn("_rsalt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        rhs = rhs.withColumn("_rsalt", F.explode(F.when(is_hot([names[c] for c in on], hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     else:
         rhs = rhs.withColumn("_rsalt", F.lit(0))
     cond = F.col("_salt") == F.col("_rsalt")

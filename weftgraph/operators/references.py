@@ -33,7 +33,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import hot_keys, salted_join
+from ..functions.skew import hot_keys, is_hot, salted_join
 from ..session import cut
 
 #: From this number of different intervals a target key is cut into months.
@@ -91,14 +91,12 @@ def _without_live(refs: DataFrame, targets: DataFrame, keys: list[str], hot_inte
     return salted_join(dead, known, keys, "left").select("row_key", "at", cause.alias("cause"))
 
 
-def _by_month(real: DataFrame, refs: DataFrame, keys: list[str], hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    is_hot = F.lit(False)
-    for h in hot:
-        is_hot = is_hot | _all([F.col(c) == F.lit(v) for c, v in zip(keys, h)])
+def _by_month(real: DataFrame, refs: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    cut_up = is_hot(keys, hot)
     span = refs.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select(_month(F.col("lo")).alias("lo"), _month(F.col("hi")).alias("hi")).first()
     lo, hi = (span.lo or 0, span.hi or 0)
     first, last = F.greatest(_month(F.col("start")), F.lit(lo)), F.least(F.coalesce(_month(F.col("end")), F.lit(hi)), F.lit(hi))
-    months = F.when(is_hot, F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(-1)))
+    months = F.when(cut_up, F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(-1)))
     month_start = F.make_timestamp(F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
     next_start = month_start + F.make_ym_interval(F.lit(0), F.lit(1))
     cutting = F.col("month") >= 0
@@ -109,7 +107,7 @@ def _by_month(real: DataFrame, refs: DataFrame, keys: list[str], hot: list[tuple
         F.when(cutting & (F.col("start") < month_start.cast(kind)), month_start.cast(kind)).otherwise(F.col("start")).alias("start"),
         F.when(cutting & (F.col("end").isNull() | (F.col("end") > next_start.cast(kind))), next_start.cast(kind)).otherwise(F.col("end")).alias("end"),
     )
-    return real.dropDuplicates(), refs.withColumn("month", F.when(is_hot, _month(F.col("at"))).otherwise(F.lit(-1)))
+    return real.dropDuplicates(), refs.withColumn("month", F.when(cut_up, _month(F.col("at"))).otherwise(F.lit(-1)))
 
 
 def corpus_orphans(corpora: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
