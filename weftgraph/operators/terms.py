@@ -79,7 +79,9 @@ def heavy_terms(terms: DataFrame, max_heavy: int = MAX_HEAVY, share: float = HEA
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*(k for k, _ in named))] + [pa.array([c for _, c in named], pa.int64())], names=["anno_ns", "anno_name", "val", "n"])
 
     named = terms.select("anno_ns", "anno_name", "val").mapInArrow(run, f"{_TERM}, n bigint")
-    best = named.groupBy("anno_ns", "anno_name", "val").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "anno_ns", "anno_name", "val").limit(max_heavy).collect()
+    # less than that share of all rows isn't heavy, so at most 1 / share terms come to the driver
+    least = max(2, int(terms.count() * share))
+    best = named.groupBy("anno_ns", "anno_name", "val").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "anno_ns", "anno_name", "val").limit(max_heavy).collect()
     return [(r.anno_ns, r.anno_name, r.val) for r in best]
 
 
