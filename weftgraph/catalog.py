@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import views
 from .aql.model import Range
 from .plans import execute as run
-from .plans import subgraph
+from .plans import index, subgraph
 from .plans.reach import pairs
+from .sources.updates import apply_updates, empty_graph
+from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -220,3 +222,39 @@ def reach_partof(spark: SparkSession, d: str) -> DataFrame:
     g = views.events_graph(spark, d)
     found = pairs(g.component("PartOf"), Range(1, None))
     return found.filter(F.col("source") < views.SESSION).select("source", "target")
+
+
+@verb("s2_clipped_window", _EVT + ", z AS (SELECT user_id, max(pos) AS high FROM e GROUP BY user_id) SELECT DISTINCT user_id AS chain_id, greatest(pos - 3, 0) AS first, least(pos + 3, high) AS last FROM e JOIN z USING (user_id) WHERE event_type = 'signup'")
+def s2_clipped_window(spark: SparkSession, d: str) -> DataFrame:
+    g = views.events_graph(spark, d)
+    return subgraph.windows(g, subgraph.matched_nodes(run.execute(g, 'type="signup"')), 3, 3).select("chain_id", "first", "last")
+
+
+@verb("s8_edge_values", "SELECT 'li' AS ns, 'flag' AS name, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def s8_edge_values(spark: SparkSession, d: str) -> DataFrame:
+    return subgraph.edge_values(views.orders_graph(spark, d), "Pointing", "tpch", "sup")
+
+
+@verb("i4_chain_positions", _EVT + "SELECT event_id AS node_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY pos) AS chain_id, pos FROM e")
+def i4_chain_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions from nothing but ordering edges."""
+    return index.chains(views.events_graph(spark, d)).select("node_id", "chain_id", "pos")
+
+
+@verb("i10_inherited_coverage", _ORD + "SELECT i.id AS node_id, i.id AS tok_id FROM i UNION ALL SELECT o.id, i.id FROM o JOIN i ON i.oid = o.id UNION ALL SELECT c.id, i.id FROM c JOIN o ON o.cid = c.id JOIN i ON i.oid = o.id UNION ALL SELECT n.id, i.id FROM n JOIN c ON c.nid = n.id JOIN o ON o.cid = c.id JOIN i ON i.oid = o.id UNION ALL SELECT r.id, i.id FROM r JOIN n ON n.rid = r.id JOIN c ON c.nid = n.id JOIN o ON o.cid = c.id JOIN i ON i.oid = o.id")
+def i10_inherited_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return index.coverage(views.orders_graph(spark, d)).select("node_id", "tok_id")
+
+
+@verb("i9_updates", "WITH k AS (SELECT user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS nr FROM events), l AS (SELECT user_id, max_by(event_type, nr) AS value FROM k WHERE event_type <> 'signup' GROUP BY user_id) SELECT 'u' || user_id AS node, value FROM l WHERE value <> 'error'")
+def i9_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Users as nodes whose label follows their events: an error takes it away, a signup changes nothing."""
+    ev = table(spark, d, "events").filter("event_type <> 'signup'")
+    nr = (F.col("ts").cast("timestamp").cast("double") * 1_000_000).cast("bigint")
+    text = [F.lit(None).cast("string").alias(c) for c in ("source", "target", "ctype", "layer", "cname")]
+    node = F.concat(F.lit("u"), F.col("user_id")).alias("node")
+    users = ev.select("user_id").distinct().select(F.lit(-10).cast("bigint").alias("nr"), F.lit("add_node").alias("kind"), node, F.lit("node").alias("node_type"), *text, *[F.lit(None).cast("string").alias(c) for c in ("ns", "name", "value")])
+    gone = F.col("event_type") == "error"
+    labels = ev.select(nr.alias("nr"), F.when(gone, "delete_node_label").otherwise("add_node_label").alias("kind"), node, F.lit(None).cast("string").alias("node_type"), *text, F.lit("evt").alias("ns"), F.lit("last").alias("name"), F.when(~gone, F.col("event_type")).alias("value"))
+    g = apply_updates(empty_graph(spark), users.unionByName(labels), "users")
+    return g.anno.join(g.node, ["corpus", "node_id"]).select(F.col("node_name").alias("node"), "value")
