@@ -273,6 +273,30 @@ def test_context(graph):
     assert [(names[r.source], names[r.target]) for r in gaps] == [("root/d1#t0", "root/d1#t3")]
 
 
+def test_segmentation_context(spark):
+    def two_layers():
+        for i in range(8):
+            yield "node", f"t{i}", "node"
+            yield "label", f"t{i}", "annis", "tok", str(i)
+            if i:
+                yield "edge", f"t{i - 1}", f"t{i}", "Ordering", "annis", ""
+        for i, (a, b) in enumerate([(0, 1), (2, 2), (4, 6), (7, 7)]):
+            yield "node", f"s{i}", "node"
+            yield "label", f"s{i}", "annis", "tok", f"s{i}"
+            for t in range(a, b + 1):
+                yield "edge", f"s{i}", f"t{t}", "Coverage", "default_ns", ""
+            if i:
+                yield "edge", f"s{i - 1}", f"s{i}", "Ordering", "default_ns", "norm"
+
+    g = graph_of_events(spark, two_layers(), "c")
+    names = {r.node_id: r.node_name for r in g.node.collect()}
+    of = lambda q, left, right, seg: {names[r.node_id] for r in subgraph.context(g, execute(g, q), left, right, seg).node.collect() if names[r.node_id][0] == "t"}
+    assert of('tok="2"', 1, 1, "norm") == {f"t{i}" for i in range(7)}
+    assert of('tok="7"', 1, 5, "norm") == {"t4", "t5", "t6", "t7"}
+    assert execute(g, "node .norm,2 node").count() == 2 and execute(g, "node ^norm node").count() == 6
+    assert execute(g, '"s0" .norm,1,3 "s3"').count() == 1 and execute(g, '"s0" .norm * "s3"').count() == 1 and execute(g, "tok .norm tok").count() == 0
+
+
 def test_updates(spark, graph):
     evs = [
         event(0, "delete_node", node="root/d1#t4"), event(1, "add_node", node="root/d1#t4", node_type="node"), event(2, "add_node_label", node="root/d1#t4", ns="annis", name="tok", value="c"), event(3, "add_edge", source="root/d1#t3", target="root/d1#t4", ctype="Ordering", layer="annis", cname=""),
@@ -297,6 +321,18 @@ def test_store(spark, graph, tmp_path):
     for q in ("tok . tok", "cat >* tok", "span _o_ tok"):
         assert store.count("root", q).first()[0] == execute(graph, q).count()
     assert store.count(["root", "other"], "tok").first()[0] == 8
+    assert {r.corpus for r in store.find(["root", "other"], "tok", order="random").collect()} == {"root"}
+    assert store.find("root", "tok", order="unsorted").count() == 8
+    (tmp_path / "a" / "sub").mkdir(parents=True)
+    (tmp_path / "a" / "sub" / "f.txt").write_text("linked")
+    store.apply_updates("files", spark.createDataFrame([event(0, "add_node", node="r/f", node_type="file"), event(1, "add_node_label", node="r/f", ns="annis", name="file", value="sub/f.txt")], EVENT_SCHEMA))
+    store.export_to("files", str(tmp_path / "a" / "files.graphml"))
+    assert store.import_from(str(tmp_path / "a" / "files.graphml"), corpus="linked") == "linked"
+    store.export_to("linked", str(tmp_path / "l.zip"))
+    assert store.import_from(str(tmp_path / "l.zip"), corpus="again") == "again"
+    assert [p.read_text() for p in store.linked_files("again").values()] == ["linked"]
+    store.delete("linked")
+    store.delete("files")
     store.export_to("root", str(tmp_path / "x.zip"))
     again = store.import_from(str(tmp_path / "x.zip"), corpus="again")
     assert again == "again" and store.count("again", "cat >* tok").first()[0] == execute(graph, "cat >* tok").count()

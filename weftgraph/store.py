@@ -137,8 +137,23 @@ class CorpusStore:
         graph = import_graphml(self.spark, path, corpus) if form == "graphml" else import_relannis(self.spark, path, corpus)
         name = graph.node.first()["corpus"]
         self.save(name, graph)
+        base = Path(path).parent if form == "graphml" else Path(path)
+        for rel in self._file_names(name):
+            if (source := (base / rel).resolve()).is_file() and source.is_relative_to(base.resolve()):
+                target = self._folder(name) / "files" / rel
+                target.parent.mkdir(parents=True, exist_ok=True)
+                shutil.copyfile(source, target)
         return name
 
+    def _file_names(self, corpus: str) -> list[str]:
+        own = self.graph(corpus).anno.filter((F.col("ns") == "annis") & (F.col("name") == "file")).select("value").distinct()
+        return [r.value for r in own.toLocalIterator() if not Path(r.value).is_absolute() and ".." not in Path(r.value).parts]
+
+    def linked_files(self, corpus: str) -> dict[str, Path]:
+        """Files that nodes link to by annis::file, and where the store keeps them."""
+        folder = self._folder(corpus) / "files"
+        return {rel: folder / rel for rel in self._file_names(corpus) if (folder / rel).is_file()}
+
     def export_to(self, corpus: str, path: str, stable: bool = True) -> None:
         """Writes GraphML, in a ZIP file if the path says so."""
         if not path.endswith(".zip"):
@@ -148,6 +163,8 @@ class CorpusStore:
             export_graphml(self.graph(corpus), f"{d}/{name}", stable)
             with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
                 z.write(f"{d}/{name}", name)
+                for rel, file in self.linked_files(corpus).items():
+                    z.write(file, rel)
 
     def apply_updates(self, corpus: str, events: DataFrame) -> None:
         """Applies update events and stores the outcome; the corpus is created if need be."""
