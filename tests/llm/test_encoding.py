@@ -72,3 +72,10 @@ def test_corpus(spark):
     assert got.count() == 5 and by[2] == [] and by[3] == [] and by[1] == reference()("hello world\nhello")
     assert {r.doc_id: r.text for r in e.decode_corpus(got).collect()} == {1: "hello world\nhello", 2: "", 3: "", None: "a" * 200_000}
     assert e.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_long_runs_end_soon():
+    encoder, want = e.Encoder(*e.read_vocabulary()), reference()
+    for t in [" " * 100_000, "\n" * 100_000 + "x", "a" + " " * 100_000 + "\n" * 1000 + "b", " \n" * 50_000, "1" * 100_000, "é" * 100_000]:
+        assert ids(encoder, t) == want(t)
+    assert sum(len(encoder.automaton.words[i]) for i in ids(encoder, "ab" * 1_000_000)) == 2_000_000

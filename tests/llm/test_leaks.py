@@ -50,3 +50,8 @@ def test_corpus(spark):
     assert whole == {(1, 20, True, 1), (2, 12, False, 0), (6, 12, False, 100_000)}
     assert sorted(r.doc_id for r in m.without_leaks(d, items).collect()) == [3, 4, 5]
     assert m.leaked(d.limit(0), items).count() == m.leaked(d, items.limit(0)).count() == 0
+
+
+def test_long_runs_end_soon():
+    for t in ["<a " * 50_000, "[[a|" * 50_000, "&amp" * 50_000, "<" * 100_000, "[[" * 50_000, "&" * 100_000, "x" * 1_000_000, "é " * 100_000]:
+        m.words_of(t)

@@ -44,7 +44,7 @@ KNOWN_CHARS = 16_000_000
 #: Rows of an output batch.
 ROWS = 500
 #: A line's text with the white space before it. It ends before white space, so the next begins at a word boundary.
-_LINE = re.compile(r"\s*[^\n]*\S|\s+")
+_LINE = re.compile(r"\s*+\S++(?:[^\S\n]++\S++)*+|\s++")
 #: The pattern again, for texts in which Python's own classes of letters, digits and white space are those of the pattern.
 _ASCII_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _PLAIN_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -84,6 +84,7 @@ class Automaton:
         self.parts = {}  # token: the two tokens of its gadget
         self.gadget = {}  # (left, right): number of the gadget that takes this arc away
         base = {words.index(bytes([b])) for b in range(256)}
+        self.longest = max(len(w) for w in words if w is not None)
         for k, (a, b, made) in enumerate(merges):
             # where no arc a->b is left the gadget finds nothing to join
             if made not in self.born and all(x in base or x in self.born for x in (a, b)) and self._arc(a, b, k):
@@ -125,7 +126,7 @@ class Automaton:
 
     def _tokens_at(self, word: bytes, at: int) -> list[int]:
         found, node = [], 0
-        for byte in word[at:] if at else word:
+        for byte in word[at : at + self.longest]:
             node = self.trie[node].get(byte)
             if node is None:
                 break
@@ -202,6 +203,8 @@ class _Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         made = self.make(piece)
+        if len(piece) > self.limit // 16:
+            return made
         self.room -= len(piece) + 20
         if self.room < 0:
             self.clear()
