@@ -81,3 +81,18 @@ def test_long_runs_end_soon():
     for t in ["1" * 100_000, "|" + " " * 100_000, "_" * 100_000, "a." * 50_000, "<a " * 50_000, "[[" * 50_000, "{{cite " * 50_000, "$" * 100_000, "http://" * 20_000, "#" * 100_000, "x" * 100_000, " " * 100_000, "-1" * 50_000]:
         s._suspect(t, frozenset({"x"}))
         assert len(s.pieces(t).symbols) == len(s.pieces(t).chars)
+
+
+def test_no_page_is_dropped_before_labelling(spark):
+    def name(i):
+        return "".join("bdfgklmnprst"[i // 12**k % 12] + "aeiou"[i // 5**k % 5] for k in range(4))
+
+    pages = [
+        "\n".join(" ".join(name(10 * line + k) for k in range(10) for _ in range(6)) for line in range(84)),  # repeats within lines only
+        "\n".join(f"{name(3 * i)} {name(3 * i + 1)} SKU-{i} -20 % ☆ ✓" for i in range(60)),  # tags without a currency
+        PROSE * 3,
+    ]
+    df = spark.createDataFrame(list(enumerate([*pages, " \n"])), "doc_id long, text string")
+    shares = {r.doc_id: r for r in s.list_shares(df).collect()}
+    assert set(shares) == {0, 1, 2}
+    assert {r.doc_id for r in s.spam_pages(df).collect()} == {0, 1}

@@ -15,9 +15,7 @@ templates) are legitimate, so they count as neither.
 Words that mark list pieces in the sample (``sales``) count as repeated in any
 page, since a short one can't repeat much.
 
-A page without signs of such matter in a quarter of its tokens isn't labelled:
-its share can't pass a half, because a piece only looks like a list by those
-signs.
+Every page that isn't blank is labelled.
 
 Defined cases: null, empty and blank texts are never flagged; texts of any
 length are labelled whole; repeated rows are each labelled alike; an empty
@@ -30,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,48 +74,35 @@ _REF = re.compile(r"<ref[^<>]*>[^<>]*(?:</ref>)?|</?[a-z][^<>]*>|\{\{(?:cite|cle
 _INNER = re.compile(r"\[\[[^\[\]]*\]\]?")
 _TAG = re.compile(r"#\w+|SKU[-: ]?\d+|[€$£¥]\s?\d[\d.,]*|(?<![\d.,])\d[\d.,]*+\s?[€£¥]|[★☆✓✔]++|[-+]\d++ ?%|IN STOCK", re.IGNORECASE)
 _DOTTED = re.compile(r"\b(?:\w[.·*_](?:[-][.·*_])?){2,}\w\b")
-_SPELLED = re.compile(r"\.\w\.\w\.")
 _BREAK = re.compile(r"\n|<br\s*/?>", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\[\[[^\[\]]*\]\]|\{\{[^{}|]*|\|\||\|-|\{\||\|\}|!!|^[*#:;!|=]+|\|[\w ]++=|\}\}", re.MULTILINE)
 _FOLD = str.maketrans("013457@$", "oieastas")
 _DISGUISED = re.compile(r"(?=[^\W\d_]*[0134579@$])(?=\S*[^\W\d_])[\w@$-]{3,}$")
+#: What any match of _DOTTED, of _TAG (besides sku, in stock) and of _DISGUISED holds.
+_SPREAD = re.compile(r"[.·*_](?:-[.·*_])?\w[.·*_]")
+_SIGN = re.compile(r"[#€$£¥★☆✓✔%]")
+_SHAPE = re.compile(r"[0134579@$]")
 _EDGE = ".,;:!?|()[]{}<>\"'«»“”„-–—•*=/\\"
-#: Signs per token from which a page is labelled at all.
-SUSPECT = 0.25
-#: A page of fewer tokens can't show by itself which words it repeats.
-SHORT_PAGE = 60
 #: A sales word stands in list pieces of so many pages of the sample, and so many times as often as elsewhere.
 WORD_PAGES, WORD_RATIO = 3, 4
 
 
 def _suspect(text: str, sales: frozenset[str] = frozenset()) -> bool:
-    """A cheap bound: whether signs of lists can reach a quarter of the page."""
-    tokens = text.lower().split()
-    n = len(tokens)
-    hosts = text.count("://") + text.count("www.")
-    links = sum(map(len, _LINK.findall(text))) / len(text) if hosts >= 3 or hosts and n < SHORT_PAGE else 0.0
-    if links >= SUSPECT:
-        return True
-    if n < SHORT_PAGE and sales:
-        words = _WORD.findall(text.lower())
-        if sum([w in sales for w in words]) >= SUSPECT * len(words):
-            return True
-    counts = Counter(tokens)
-    least = max(2 if n < 60 else 3, 0.01 * n)
-    signs = sum([v for k, v in counts.items() if v >= least and len(k) > 2 and k not in FUNCTION_WORDS])
-    signs += text.count("#") + 3 * len(_SPELLED.findall(text))
-    if any([s in text for s in "€$£★@"]):
-        signs += 3 * sum([v for k, v in counts.items() if any([c in k for c in "€$£★@"])])
-    signs += 2 * sum([v for k, v in counts.items() if k.isalnum() and not k.isalpha() and not k.isdigit()])
-    return signs + links * n >= SUSPECT * n
+    """Whether a page is labelled: all but blank ones are, as what a piece looks like depends on its line and page."""
+    return not text.isspace() and text != ""
 
 
-def _folded(token: str) -> str:
+@lru_cache(1 << 16)
+def _bare(token: str) -> str:
     t = token.strip(_EDGE)
     return t.translate(_FOLD) if not t.isalpha() and not t.replace(",", "").replace(".", "").isdigit() else t
 
 
+def _folded(token: str) -> str:
+    return token if token.isalpha() else _bare(token)
+
+
 @dataclass
 class Pieces:
     symbols: list[int]
@@ -132,54 +118,66 @@ def pieces(text: str, sales: frozenset[str] = frozenset(), seen: list[list[str]]
     """
     out = Pieces([], [], [])
     lines = []
-    for line in _BREAK.split(text):
+    for line in _BREAK.split(text) if "<" in text else text.split("\n"):
         if not line.strip():
             continue
-        spread = _REF.sub(" ", line)
-        links = sum(len(m) for m in _LINK.findall(line))
+        # each pattern is tried only where something stands that any match of it holds
+        low = line.lower()
+        angle = "<" in line
+        spread = _REF.sub(" ", line) if angle or "{{" in line else line
+        links = sum([len(m) for m in _LINK.findall(line)]) if angle or "//" in line or "www." in low else 0
         rest = _LINK.sub(" ", spread) if links else spread
-        inner = _INNER.sub(" ", rest)
+        inner = _INNER.sub(" ", rest) if "[[" in rest else rest
         disguised = 0
         plain = inner
-        if "." in plain or "*" in plain or "·" in plain:
+        if ("." in plain or "*" in plain or "·" in plain) and _SPREAD.search(plain):
             found = _DOTTED.findall(plain)
             disguised = len(found)
             if found:
                 plain = _DOTTED.sub(lambda m: re.sub(r"[.·*_]", "", m[0]), plain)
-        lines.append((line, links, plain.lower().split(), disguised, inner))
+        tags = len(_TAG.findall(inner)) if _SIGN.search(inner) or "ku" in low or "tock" in low else 0
+        lines.append((line, links, (low if plain is line else plain.lower()).split(), disguised, tags))
     page: Counter[str] = Counter()
     folded = []
     for _, _, tokens, _, _ in lines:
-        ws = [_folded(t) for t in tokens]
+        ws = [t if t.isalpha() else _bare(t) for t in tokens]
         folded.append(ws)
         page.update(ws)
-    n_page = max(1, sum(len(w) for w in folded))
-    often = {w for w, v in page.items() if v >= max(min(4, 2 + n_page / 40), 0.012 * n_page) and len(w) > 2 and w not in FUNCTION_WORDS and not w.isdigit()} | sales
-    for (line, links, tokens, disguised, inner), ws in zip(lines, folded):
+    n_page = max(1, sum([len(w) for w in folded]))
+    least = max(min(4, 2 + n_page / 40), 0.012 * n_page)
+    often = {w for w, v in page.items() if v >= least and _counts(w)} | sales.intersection(page)
+    for (line, links, tokens, disguised, tags), ws in zip(lines, folded):
         known = often
         if len(ws) >= 24:
-            own = Counter(ws)
-            known = often | {w for w, v in own.items() if v >= max(3, 0.03 * len(ws)) and len(w) > 2 and w not in FUNCTION_WORDS and not w.isdigit()}
+            own, least = Counter(ws), max(3, 0.03 * len(ws))
+            if more := [w for w, v in own.items() if v >= least and w not in often and _counts(w)]:
+                known = often.union(more)
         parts = range(0, max(1, len(ws)), PIECE)
         all_words, share = len(_WORD.findall(line)), 1 / len(parts)
         link_share = links / len(line)
-        tags = len(_TAG.findall(inner))
-        mark = sum(len(m) for m in _MARK.findall(line)) / len(line)
+        mark = sum([len(m) for m in _MARK.findall(line)]) / len(line) if line[0] in "*#:;!|=" or "[[" in line or "{{" in line or "|" in line or "!!" in line or "}}" in line else 0.0
+        shapes = _SHAPE.search(line) is not None
         for at in parts:
             mine = ws[at : at + PIECE]
             real = [w for w in mine if w]
             if seen is not None:
                 seen.append(real)
             n = len(real)
-            repeated = sum(w in known for w in real) / n if n else 0.0
-            function = sum(w in FUNCTION_WORDS for w in real) / n if n else 0.0
-            odd = (disguised * share + sum(1 for t in tokens[at : at + PIECE] if not t.isalpha() and _DISGUISED.match(t.strip(".,;|")) and not t.strip(_EDGE).isdigit())) / n if n else 0.0
+            repeated = sum([w in known for w in real]) / n if n else 0.0
+            function = sum([w in FUNCTION_WORDS for w in real]) / n if n else 0.0
+            shaped = sum([1 for t in tokens[at : at + PIECE] if not t.isalpha() and _DISGUISED.match(t.strip(".,;|")) and not t.strip(_EDGE).isdigit()]) if shapes else 0
+            odd = (disguised * share + shaped) / n if n else 0.0
             out.symbols.append(_symbol(n, link_share, tags * share / n if n else 0.0, odd, repeated, function, mark))
             out.words.append(all_words * share)
             out.chars.append(len(line) * share)
     return out
 
 
+def _counts(word: str) -> bool:
+    """Whether repeating a word tells anything."""
+    return len(word) > 2 and word not in FUNCTION_WORDS and not word.isdigit()
+
+
 def _symbol(n: int, links: float, tags: float, odd: float, repeated: float, function: float, mark: float) -> int:
     if links >= 0.5:
         return 7
@@ -336,7 +334,7 @@ def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
 
 
 def list_shares(docs: DataFrame, fit_pages: int = FIT_PAGES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_share, char_share) of the pages with signs of lists: the shares of link and tag lists."""
+    """(doc_id, n_words, word_share, char_share) of the pages that aren't blank: the shares of link and tag lists."""
     pages = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(sample_model(pages, fit_pages))
     return pages.filter("text is not null").mapInArrow(_labeller(sent), _SCHEMA)
