@@ -96,3 +96,11 @@ def test_no_page_is_dropped_before_labelling(spark):
     shares = {r.doc_id: r for r in s.list_shares(df).collect()}
     assert set(shares) == {0, 1, 2}
     assert {r.doc_id for r in s.spam_pages(df).collect()} == {0, 1}
+
+
+def test_sales_words_come_from_all_pages(spark):
+    long = [" ".join(RNG.choice(["kaufen", "billig", "stiefel"]) for _ in range(150)) for _ in range(4)] + [PROSE * 2] * 60
+    short = ["kaufen billig Korda stiefel", "the mill and the quarry"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long + short)], "doc_id long, text string")
+    assert s.sample_model(df, 2).sales == {"kaufen", "billig", "stiefel"}
+    assert {r.doc_id for r in s.spam_pages(df, fit_pages=2).collect()} == {0, 1, 2, 3, 64}

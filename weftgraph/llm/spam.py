@@ -12,8 +12,8 @@ labelled by its most probable path, and flagged if link and tag lists hold more
 than half of its words and of its characters. Menus (internal links, tables,
 templates) are legitimate, so they count as neither.
 
-Words that mark list pieces in the sample (``sales``) count as repeated in any
-page, since a short one can't repeat much.
+Words that mark list pieces (``sales``), counted over all pages, count as
+repeated in any page, since a short one can't repeat much.
 
 Every page that isn't blank is labelled.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 STATES = ("prose", "link list", "tag list", "menu")
 #: Tokens of a piece.
 PIECE = 40
-#: Pages whose pieces fit the model and its sales words, and rounds of fitting.
+#: Pages whose pieces fit the model, and rounds of fitting.
 FIT_PAGES = 1000
 FIT_ROUNDS = 3
 #: Pieces that the starting values weigh as much as.
@@ -84,8 +84,10 @@ _SPREAD = re.compile(r"[.·*_](?:-[.·*_])?\w[.·*_]")
 _SIGN = re.compile(r"[#€$£¥★☆✓✔%]")
 _SHAPE = re.compile(r"[0134579@$]")
 _EDGE = ".,;:!?|()[]{}<>\"'«»“”„-–—•*=/\\"
-#: A sales word stands in list pieces of so many pages of the sample, and so many times as often as elsewhere.
+#: A sales word stands in list pieces of so many pages, and so many times as often as elsewhere.
 WORD_PAGES, WORD_RATIO = 3, 4
+#: Most sales words that are kept, and distinct words a task holds before it sends their counts.
+SALES_WORDS, HELD_WORDS = 50_000, 200_000
 
 
 def _suspect(text: str, sales: frozenset[str] = frozenset()) -> bool:
@@ -269,33 +271,19 @@ def fit(pages: list[list[int]], rounds: int = FIT_ROUNDS, prior: float = PRIOR)
     return model
 
 
-def sales_words(words: list[list[list[str]]], states: list[np.ndarray]) -> frozenset[str]:
-    """The words of list pieces that other pieces hardly have, by the pages that hold them."""
-    inside, outside = Counter(), Counter()
-    pages = [0, 0]
+def tally(words: list[list[list[str]]], states: list[np.ndarray], inside: Counter[str], outside: Counter[str]) -> None:
+    """Adds up the pages that hold each word in list pieces, and in others; the empty word counts the pages with such pieces."""
     for page, labels in zip(words, states):
-        held: tuple[set[str], set[str]] = (set(), set())
-        for piece, state in zip(page, labels):
-            held[state not in (1, 2)].update(piece)
-        pages[0] += bool(held[0])
-        pages[1] += bool(held[1])
-        inside.update(held[0])
-        outside.update(held[1])
-    if not pages[0]:
-        return frozenset()
-    return frozenset(w for w, n in inside.items() if n >= WORD_PAGES and n / pages[0] > WORD_RATIO * outside[w] / max(pages[1], 1) and len(w) > 2 and w.isalpha() and w not in FUNCTION_WORDS)
+        lists = (labels == 1) | (labels == 2)
+        for held, pages in ((lists, inside), (~lists, outside)):
+            if held.any():
+                pages.update({w for piece, h in zip(page, held) if h for w in piece if w.isalpha()})
+                pages[""] += 1
 
 
 def learn(texts: list[str]) -> Model:
-    """Fits the model, then takes the sales words from the pieces that it labels as lists."""
-    words: list[list[list[str]]] = []
-    symbols = []
-    for t in texts:
-        words.append([])
-        symbols.append(pieces(t, seen=words[-1]).symbols)
-    model = fit(symbols)
-    model.sales = sales_words(words, model.label(symbols))
-    return model
+    """Fits the model, yet without sales words."""
+    return fit([pieces(t).symbols for t in texts])
 
 
 _SCHEMA = "doc_id bigint, n_words bigint, word_share double, char_share double"
@@ -320,8 +308,53 @@ def _labeller(sent):
     return run
 
 
+def _tallier(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        inside, outside = Counter(), Counter()
+
+        def told() -> pa.RecordBatch:
+            words = ["", *{w for c in (inside, outside) for w in c if _counts(w)}]
+            rows = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (inside, outside))], names=["word", "inside", "outside"])
+            inside.clear()
+            outside.clear()
+            return rows
+
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for at in range(0, len(texts), 2000):
+                words, symbols = [], []
+                for t in texts[at : at + 2000]:
+                    words.append([])
+                    symbols.append(pieces(t, seen=words[-1]).symbols)
+                tally(words, model.label(symbols), inside, outside)
+                if len(inside) + len(outside) > HELD_WORDS:
+                    yield told()
+        yield told()
+
+    return run
+
+
+def sales_words(docs: DataFrame, model: Model) -> frozenset[str]:
+    """The words of list pieces that other pieces hardly have, by the pages of all ``docs`` that hold them.
+
+    Tasks send counts of at most ``HELD_WORDS`` words at once (besides those of
+    2000 pages); at most ``SALES_WORDS`` words are collected, those of the most pages.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    found = docs.filter("text is not null").select("text").mapInArrow(_tallier(sent), "word string, inside bigint, outside bigint")
+    counts = found.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).filter((F.col("inside") >= WORD_PAGES) | (F.col("word") == "")).persist()
+    pages = counts.filter("word = ''").first()
+    words: list = []
+    if pages and pages.inside:
+        often = F.col("inside") / pages.inside > WORD_RATIO * F.col("outside") / max(pages.outside, 1)
+        words = counts.filter((F.col("word") != "") & often).orderBy(F.desc("inside"), "word").limit(SALES_WORDS).collect()
+    counts.unpersist()
+    return frozenset(r.word for r in words)
+
+
 def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
-    """The model fitted to at most ``fit_pages`` pages, those of the smallest hash.
+    """The model fitted to at most ``fit_pages`` pages, those of the smallest hash, with the sales words of all pages.
 
     Only pages below a hash that about four times as many pass are sorted, so
     that all tasks together send no more than a few times the sample.
@@ -330,7 +363,9 @@ def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     few = docs.filter(F.col("text").isNotNull() & (place < int(min(1.0, 4 * fit_pages / max(n, 1)) * (1 << 40))))
     rows = few.orderBy(place).limit(fit_pages).collect()
-    return learn([r.text for r in rows])
+    model = learn([r.text for r in rows])
+    model.sales = sales_words(docs, model)
+    return model
 
 
 def list_shares(docs: DataFrame, fit_pages: int = FIT_PAGES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
