@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.aql.analyze import parse
 from weftgraph.plans import subgraph
+from weftgraph.aql.model import Range
 from weftgraph.plans.execute import count_extra, execute, find, frequency
+from weftgraph.plans.reach import pairs
 from weftgraph.sources.updates import EVENT_SCHEMA, apply_updates, empty_graph, event, graph_of_events
 from weftgraph.store import CorpusStore
 from weftgraph.streaming.ingest import follow
@@ -345,3 +347,19 @@ def test_store(spark, graph, tmp_path):
     assert store.delete("again") and store.corpora() == ["other", "root"]
     with pytest.raises(KeyError):
         store.count("again", "tok")
+
+
+def test_paths_of_any_length(spark):
+    links = [("a", i, i + 1) for i in range(66)] + [("a", 100, 66)]  # node 66 has two parents
+    found = pairs(spark.createDataFrame(links, "corpus string, source long, target long"), Range(65, 70))
+    assert {tuple(r) for r in found.collect()} == {("a", 0, 65), ("a", 1, 66), ("a", 0, 66)}
+
+
+def test_paths_of_several_corpora(spark):
+    links = [(c, i, i + 1) for c, n in (("a", 70), ("b", 68)) for i in range(n)] + [("b", 200, 201), ("b", 201, 200), ("b", 201, 202)]
+    df = spark.createDataFrame(links, "corpus string, source long, target long")
+    one = {tuple(r) for c in "ab" for r in pairs(df.filter(df.corpus == c), Range(7, 80)).collect()}
+    assert one == {(c, i, j) for c, n in (("a", 70), ("b", 68)) for i in range(n + 1) for j in range(i + 7, n + 1)}
+    assert {tuple(r) for r in pairs(df, Range(7, 80)).collect()} == one
+    near = {tuple(r) for r in pairs(df, Range(2, 8)).collect()}
+    assert {t for t in near if t[1] >= 200} == {("b", 200, 202)} and ("a", 0, 8) in near and ("b", 60, 68) in near

@@ -4,7 +4,8 @@ A component in which no node has two parents is a forest (or holds cycles
 below one parent each); its paths come from the hierarchy operator, which
 unites links by tasks and not by joins. Any other component is walked from the
 wanted sources, one join a step; a walk never enters a node again that is on
-its path, and a walk of any length keeps only pairs it hasn't had.
+its path, so that it ends by itself whatever the range, and a walk of any
+length keeps only pairs it hasn't had.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from ..aql.model import Range
 from ..operators.hierarchy import forest
 from ..session import cut
 
-#: A walk within a bounded range carries its path up to this length.
-LONGEST_PATH = 64
 #: Up to so many steps a walk is one plan of joins, without writing between them.
 UNROLLED = 6
 
@@ -46,8 +45,7 @@ def pairs(edges: DataFrame, dist: Range, starts: DataFrame | None = None, single
         found = _by_steps(direct, dist, starts)
     else:
         if single_parent is None:
-            seen = direct.groupBy("corpus", "target").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("corpus").alias("a"), F.max("corpus").alias("b")).first()
-            single_parent = (seen.n or 0) <= 1 and seen.a == seen.b
+            single_parent = (direct.groupBy("corpus", "target").count().agg(F.max("count").alias("n")).first().n or 0) <= 1
         found = _by_paths(direct, dist) if single_parent else _by_steps(direct, dist, starts)
     if dist.low == 0:
         ends = direct.select("corpus", F.col("source").alias("n")).unionByName(direct.select("corpus", F.col("target").alias("n"))).distinct()
@@ -68,15 +66,28 @@ def _unrolled(direct: DataFrame, dist: Range, starts: DataFrame | None) -> DataF
 
 
 def _by_paths(direct: DataFrame, dist: Range) -> DataFrame:
-    corpus = direct.select("corpus").first()
-    tree = cut(forest(direct, "target", "source", paths=True))
+    corpora = direct.agg(F.min("corpus").alias("a"), F.max("corpus").alias("b")).first()
+    ids = None
+    links = direct
+    if corpora.a != corpora.b:  # the same node of two corpora is two nodes of the forest
+        ends = direct.select("corpus", F.col("source").alias("n")).unionByName(direct.select("corpus", F.col("target").alias("n"))).distinct()
+        ids = cut(ends.withColumn("id", F.monotonically_increasing_id()))
+        for end in ("source", "target"):
+            links = links.join(ids.select("corpus", F.col("n").alias(end), F.col("id").alias(f"{end}_id")), ["corpus", end])
+        links = links.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    tree = cut(forest(links, "target", "source", paths=True))
+    if ids is None:
+        tree = tree.select(F.lit(corpora.a).alias("corpus"), F.col("node").alias("target"), "depth", "path", "cyclic")
+    else:
+        tree = tree.join(ids, tree.node == ids.id).select("corpus", F.col("n").alias("target"), "depth", "path", "cyclic")
     far = F.col("depth") - F.col("pos")
-    steps = tree.filter("not cyclic").select(F.col("node").alias("target"), "depth", F.posexplode("path").alias("pos", "source"))
-    near = steps.filter((far >= max(dist.low, 1)) & (F.lit(True) if dist.high is None else far <= dist.high))
-    out = near.select(F.lit(corpus.corpus if corpus else None).alias("corpus"), "source", "target")
-    loops = tree.filter("cyclic").select(F.col("node").alias("target"))
+    steps = tree.filter("not cyclic").select("corpus", "target", "depth", F.posexplode("path").alias("pos", "source"))
+    out = steps.filter((far >= max(dist.low, 1)) & (F.lit(True) if dist.high is None else far <= dist.high)).select("corpus", "source", "target")
+    if ids is not None:
+        out = out.join(ids.select(F.col("id").alias("source"), "n"), "source").select("corpus", F.col("n").alias("source"), "target")
+    loops = tree.filter("cyclic").select("corpus", "target")
     if loops.limit(1).count():  # what lies on or below a cycle is walked; all its ancestors do so too
-        out = out.unionByName(_by_steps(direct.join(loops, "target", "left_semi").select("corpus", "source", "target"), dist, None))
+        out = out.unionByName(_by_steps(direct.join(loops, ["corpus", "target"], "left_semi").select("corpus", "source", "target"), dist, None))
     return out
 
 
@@ -94,7 +105,7 @@ def _by_steps(direct: DataFrame, dist: Range, starts: DataFrame | None) -> DataF
     out = walk.select("corpus", "source", F.col("at").alias("target")) if dist.low <= 1 else None
     length = 1
     unrolled = dist.high is not None and dist.high <= UNROLLED
-    while (dist.high is None or length < dist.high) and length < LONGEST_PATH:
+    while dist.high is None or length < dist.high:
         walk = walk.join(nxt, ["corpus", "at"]).filter(~F.array_contains("path", F.col("to"))).select("corpus", "source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         length += 1
         if not unrolled:
