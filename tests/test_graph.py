@@ -363,3 +363,20 @@ def test_paths_of_several_corpora(spark):
     assert {tuple(r) for r in pairs(df, Range(7, 80)).collect()} == one
     near = {tuple(r) for r in pairs(df, Range(2, 8)).collect()}
     assert {t for t in near if t[1] >= 200} == {("b", 200, 202)} and ("a", 0, 8) in near and ("b", 60, 68) in near
+
+
+def test_zip_of_several_corpora(spark, graph, tmp_path):
+    import zipfile
+
+    store = CorpusStore(spark, str(tmp_path / "data"))
+    store.save("root", graph)
+    for name in ("one", "two"):
+        store.export_to("root", str(tmp_path / f"{name}.graphml"))
+    with zipfile.ZipFile(tmp_path / "both.zip", "w") as z:
+        z.write(tmp_path / "one.graphml", "x/one.graphml")
+        z.write(tmp_path / "two.graphml", "two.GraphML")
+    with pytest.raises(ValueError):
+        store.import_from(str(tmp_path / "both.zip"), corpus="single")
+    assert store.corpora() == ["root"]
+    assert sorted(store.import_from(str(tmp_path / "both.zip"))) == ["one", "two"]
+    assert store.corpora() == ["one", "root", "two"] and {store.count(c, "tok").first()[0] for c in ("one", "two")} == {8}

@@ -56,7 +56,8 @@ def run(argv: Sequence[str], spark: SparkSession | None = None, out=None) -> int
         if a.command == "list":
             print(*store.corpora(), sep="\n", file=out)
         elif a.command == "import":
-            print(store.import_from(a.path, corpus=a.name), file=out)
+            names = store.import_from(a.path, corpus=a.name)
+            print(*([names] if isinstance(names, str) else names), sep="\n", file=out)
         elif a.command == "export":
             store.export_to(a.corpus, a.path)
         elif a.command == "delete":

@@ -124,18 +124,39 @@ class CorpusStore:
             for t in _STORED:
                 getattr(g, t).unpersist()
 
-    def import_from(self, path: str, form: str | None = None, corpus: str | None = None) -> str:
-        """Takes in a GraphML file, a relANNIS directory, or a ZIP file with one of them; gives the corpus name."""
+    def import_from(self, path: str, form: str | None = None, corpus: str | None = None) -> str | list[str]:
+        """Takes in a GraphML file, a relANNIS directory, or a ZIP file with any number of them.
+
+        Gives the corpus name, or the list of names if a ZIP file holds several.
+        """
         if path.endswith(".zip"):
             with tempfile.TemporaryDirectory() as d, zipfile.ZipFile(path) as z:
                 z.extractall(d)
-                inner = [*sorted(Path(d).rglob("*.graphml")), *sorted(p.parent for p in Path(d).rglob("corpus.annis")), *sorted(p.parent for p in Path(d).rglob("corpus.tab"))]
+                folders = sorted({p.parent for t in ("corpus.annis", "corpus.tab") for p in Path(d).rglob(t)})
+                files = sorted(p for p in Path(d).rglob("*") if p.suffix.lower() == ".graphml" and p.is_file())
+                inner = [(str(p), kind) for kind, ps in (("relannis", folders), ("graphml", files)) for p in ps if form in (None, kind)]
                 if not inner:
                     raise ValueError(f"{path} holds no corpus")
-                return self.import_from(str(inner[0]), form, corpus)
+                if corpus is not None and len(inner) > 1:
+                    raise ValueError(f"{path} holds {len(inner)} corpora, which can't all be named {corpus}")
+                graphs = [self._read(p, kind, corpus) for p, kind in inner]
+                names = [name for name, _ in graphs]
+                if len(set(names)) < len(names):
+                    raise ValueError(f"{path} holds several corpora of one name: {', '.join(names)}")
+                for (p, kind), (name, graph) in zip(inner, graphs):
+                    self._take_in(p, kind, name, graph)
+                return names[0] if len(names) == 1 else names
         form = form or ("graphml" if path.endswith(".graphml") else "relannis")
+        name, graph = self._read(path, form, corpus)
+        self._take_in(path, form, name, graph)
+        return name
+
+    def _read(self, path: str, form: str, corpus: str | None) -> tuple[str, Graph]:
         graph = import_graphml(self.spark, path, corpus) if form == "graphml" else import_relannis(self.spark, path, corpus)
-        name = graph.node.first()["corpus"]
+        return graph.node.first()["corpus"], graph
+
+    def _take_in(self, path: str, form: str, name: str, graph: Graph) -> None:
+        """Saves a corpus that was read, and its linked files."""
         self.save(name, graph)
         base = Path(path).parent if form == "graphml" else Path(path)
         for rel in self._file_names(name):
@@ -143,7 +164,6 @@ class CorpusStore:
                 target = self._folder(name) / "files" / rel
                 target.parent.mkdir(parents=True, exist_ok=True)
                 shutil.copyfile(source, target)
-        return name
 
     def _file_names(self, corpus: str) -> list[str]:
         own = self.graph(corpus).anno.filter((F.col("ns") == "annis") & (F.col("name") == "file")).select("value").distinct()
