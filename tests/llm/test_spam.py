@@ -104,3 +104,25 @@ def test_sales_words_come_from_all_pages(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(long + short)], "doc_id long, text string")
     assert s.sample_model(df, 2).sales == {"kaufen", "billig", "stiefel"}
     assert {r.doc_id for r in s.spam_pages(df, fit_pages=2).collect()} == {0, 1, 2, 3, 64}
+
+
+def test_lists_in_scripts_without_spaces(spark):
+    def joined(words, by, n=80):
+        return by.join(RNG.choice(words) for _ in range(n))
+
+    lists = [
+        joined(["便宜", "手机", "特价", "购买"], "", 120),
+        joined(["便宜", "手机", "特价", "购买"], "、", 120),
+        joined(["激安", "通販", "バッグ", "時計"], "、"),
+        joined(["ราคาถูก", "ซื้อรองเท้า", "ลดราคา"], ""),
+        joined(["할인", "구매", "신발"], " ", 120),
+        *(joined(["cheap", "boots", "outlet", "sale"], by, 150) for by in ("/", "|", ",")),
+    ]
+    fine = [
+        "这座桥建于一六三一年，是当地居民为了方便过河而修建的。十九世纪的一场大火烧毁了旧城的大部分房屋，市议会随后决定重建。如今博物馆收藏着当时的地图与书信，每年吸引许多游客前来参观。",
+        "この橋は江戸時代に建てられ、火災の後に再建された。町の人口は約三千人で、多くの住民が製粉所で働いていた。現在は博物館として公開されており、古い地図や手紙が展示されている。",
+        "สะพานแห่งนี้สร้างขึ้นในสมัยโบราณและได้รับการบูรณะหลังเกิดเพลิงไหม้ครั้งใหญ่ ปัจจุบันเป็นพิพิธภัณฑ์ที่เปิดให้ประชาชนเข้าชม มีแผนที่เก่าและจดหมายจัดแสดงอยู่มากมาย",
+        PROSE * 3,
+    ]
+    df = spark.createDataFrame(list(enumerate([*lists, *fine])), "doc_id long, text string")
+    assert {r.doc_id for r in s.spam_pages(df).collect()} == set(range(len(lists)))

@@ -4,7 +4,9 @@ A page is cut into pieces (a line, at most ``PIECE`` tokens of it). Each piece
 is observed as one symbol, from what any language shows: the share of text in
 links to outside hosts, of tokens that are product tags (hash tags, prices,
 stock marks), of spelled-out or disguised words, of words that this page or
-line keeps repeating, of function words, and of wiki markup. Four hidden
+line keeps repeating, of function words, and of wiki markup. Words are runs of
+letters and digits; of scripts without spaces, which have no such words, pairs
+of characters (Han, kana) or ``LONG_GRAM`` of them (Thai and others). Four hidden
 states (prose, link list, tag list, menu) explain the symbols; their
 probabilities start from fixed values and are fitted by Baum-Welch to the
 pieces of a bounded sample of pages (``FIT_PAGES``). Every page is then
@@ -83,6 +85,16 @@ _DISGUISED = re.compile(r"(?=[^\W\d_]*[0134579@$])(?=\S*[^\W\d_])[\w@$-]{3,}$")
 _SPREAD = re.compile(r"[.·*_](?:-[.·*_])?\w[.·*_]")
 _SIGN = re.compile(r"[#€$£¥★☆✓✔%]")
 _SHAPE = re.compile(r"[0134579@$]")
+#: Scripts without spaces, each run of them for itself; those (and Hangul) whose words are mostly two characters; pairs of grammar rather than of things.
+_HAN = "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_KANA = "\u3041-\u3096\u30a1-\u30fa\u30fc\u31f0-\u31ff\uff66-\uff9f"
+_JOINED = "\u0e00-\u0e4e\u0e80-\u0ece\u0f40-\u0fbc\u1000-\u103f\u1050-\u108f\u1780-\u17d3"
+_UNSPACED = re.compile(f"[{_HAN}{_KANA}{_JOINED}]")
+_PAIRED = re.compile(f"[{_HAN}{_KANA}\uac00-\ud7a3]")
+_RUN = re.compile(f"[{_HAN}{_KANA}]+|[{_JOINED}]+|(?:(?![{_HAN}{_KANA}{_JOINED}])(?:[^\\W_]|[@$]))+")
+_GRAMMAR = re.compile("(?=.{1,2}$).?[\u3041-\u3096的了是在和与與为為之也于於]")
+#: Characters of a word of the scripts without spaces that spell sounds.
+LONG_GRAM = 5
 _EDGE = ".,;:!?|()[]{}<>\"'«»“”„-–—•*=/\\"
 #: A sales word stands in list pieces of so many pages, and so many times as often as elsewhere.
 WORD_PAGES, WORD_RATIO = 3, 4
@@ -96,13 +108,18 @@ def _suspect(text: str, sales: frozenset[str] = frozenset()) -> bool:
 
 
 @lru_cache(1 << 16)
-def _bare(token: str) -> str:
-    t = token.strip(_EDGE)
-    return t.translate(_FOLD) if not t.isalpha() and not t.replace(",", "").replace(".", "").isdigit() else t
-
-
-def _folded(token: str) -> str:
-    return token if token.isalpha() else _bare(token)
+def _parts(token: str) -> tuple[str, ...]:
+    """The words of what white space cuts out: its runs of letters and digits, and character n-grams of scripts without spaces."""
+    if token.replace(",", "").replace(".", "").isdigit():
+        return (token,)
+    out: list[str] = []
+    for w in _RUN.findall(token):
+        if _UNSPACED.match(w):
+            size = 2 if _PAIRED.match(w) else LONG_GRAM
+            out.extend([w[i : i + size] for i in range(max(1, len(w) - size + 1))])
+        else:
+            out.append(w if w.isalpha() or w.isdigit() else w.translate(_FOLD))
+    return tuple(out)
 
 
 @dataclass
@@ -141,8 +158,14 @@ def pieces(text: str, sales: frozenset[str] = frozenset(), seen: list[list[str]]
         lines.append((line, links, (low if plain is line else plain.lower()).split(), disguised, tags))
     page: Counter[str] = Counter()
     folded = []
+    spaced = not _UNSPACED.search(text)
     for _, _, tokens, _, _ in lines:
-        ws = [t if t.isalpha() else _bare(t) for t in tokens]
+        ws = []
+        for t in tokens:
+            if t.isalpha() and (spaced or t.isascii()):
+                ws.append(t)
+            else:
+                ws.extend(_parts(t))
         folded.append(ws)
         page.update(ws)
     n_page = max(1, sum([len(w) for w in folded]))
@@ -156,19 +179,30 @@ def pieces(text: str, sales: frozenset[str] = frozenset(), seen: list[list[str]]
                 known = often.union(more)
         parts = range(0, max(1, len(ws)), PIECE)
         all_words, share = len(_WORD.findall(line)), 1 / len(parts)
+        if not spaced and _UNSPACED.search(line):
+            all_words = max(all_words, len(ws))
         link_share = links / len(line)
         mark = sum([len(m) for m in _MARK.findall(line)]) / len(line) if line[0] in "*#:;!|=" or "[[" in line or "{{" in line or "|" in line or "!!" in line or "}}" in line else 0.0
-        shapes = _SHAPE.search(line) is not None
+        shapes = [0] * len(ws)  # at the first word of each disguised token
+        if _SHAPE.search(line):
+            i = 0
+            for t in tokens:
+                if t.isalpha():
+                    i += 1 if spaced or t.isascii() else len(_parts(t))
+                    continue
+                if (k := len(_parts(t))) and _DISGUISED.match(t.strip(".,;|")) and not t.strip(_EDGE).isdigit():
+                    shapes[i] = 1
+                i += k
         for at in parts:
-            mine = ws[at : at + PIECE]
-            real = [w for w in mine if w]
+            real = ws[at : at + PIECE]
             if seen is not None:
                 seen.append(real)
             n = len(real)
             repeated = sum([w in known for w in real]) / n if n else 0.0
             function = sum([w in FUNCTION_WORDS for w in real]) / n if n else 0.0
-            shaped = sum([1 for t in tokens[at : at + PIECE] if not t.isalpha() and _DISGUISED.match(t.strip(".,;|")) and not t.strip(_EDGE).isdigit()]) if shapes else 0
-            odd = (disguised * share + shaped) / n if n else 0.0
+            if not spaced and n:
+                function += sum([1 for w in real if _GRAMMAR.match(w)]) / n
+            odd = (disguised * share + sum(shapes[at : at + PIECE])) / n if n else 0.0
             out.symbols.append(_symbol(n, link_share, tags * share / n if n else 0.0, odd, repeated, function, mark))
             out.words.append(all_words * share)
             out.chars.append(len(line) * share)
@@ -177,7 +211,7 @@ def pieces(text: str, sales: frozenset[str] = frozenset(), seen: list[list[str]]
 
 def _counts(word: str) -> bool:
     """Whether repeating a word tells anything."""
-    return len(word) > 2 and word not in FUNCTION_WORDS and not word.isdigit()
+    return (len(word) > 2 or len(word) == 2 and not word.isascii() and _PAIRED.match(word) is not None) and word not in FUNCTION_WORDS and not word.isdigit() and (word.isascii() or not _GRAMMAR.match(word))
 
 
 def _symbol(n: int, links: float, tags: float, odd: float, repeated: float, function: float, mark: float) -> int:
@@ -277,7 +311,7 @@ def tally(words: list[list[list[str]]], states: list[np.ndarray], inside: Counte
         lists = (labels == 1) | (labels == 2)
         for held, pages in ((lists, inside), (~lists, outside)):
             if held.any():
-                pages.update({w for piece, h in zip(page, held) if h for w in piece if w.isalpha()})
+                pages.update({w for piece, h in zip(page, held) if h for w in piece if w.isalpha() or _UNSPACED.match(w)})
                 pages[""] += 1
 
 
