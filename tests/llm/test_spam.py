@@ -46,26 +46,116 @@ def test_pages(spark):
     assert s.spam_pages(df.limit(0)).count() == 0
 
 
+def fitted(pages, **how):
+    return s.fit(s.observe(pages, s.Lines()), **how)
+
+
+def shares_of(text, model):
+    seen = s.observe([text], s.Lines(model.sales))
+    _, words, chars = s.shares(seen, model.label(seen), 1)
+    return words[0], chars[0]
+
+
+def start_model():
+    return s.Model(s.START, s.MOVE, s.starting_emissions())
+
+
 def test_smaller_part_below_prose():
-    p = s.pieces(PROSE * 4 + keywords(60))
-    (states,) = s.fit([p.symbols]).label([p.symbols])
-    assert 0 < np.array(p.words)[(states == 1) | (states == 2)].sum() < sum(p.words) / 2
+    page = PROSE * 4 + keywords(60)
+    assert 0 < shares_of(page, fitted([page]))[0] < 0.5
 
 
-def test_model_is_independent_of_order():
-    pages = [s.pieces(t).symbols for t in [*LISTS.values(), *FINE.values()]]
-    a, b = s.fit(pages), s.fit(pages[::-1])
-    assert np.array_equal(a.emit, b.emit) and np.allclose(a.emit.sum(1), 1) and np.allclose(a.move.sum(1), 1)
+def test_model_is_a_distribution():
+    model = fitted([*LISTS.values(), *FINE.values()])
+    assert np.allclose(model.emit[:, :, :-1].sum(2), 1) and np.allclose(model.move.sum(1), 1) and np.allclose(model.start.sum(), 1)
 
 
 def test_label_against_exhaustive():
     from itertools import product
 
-    model = s.Model(s.START, s.MOVE, s.EMIT)
-    for symbols in ([0, 5, 5, 3], [7, 7, 0, 0, 2], [11], [9, 4]):
-        score = lambda path: s.START[path[0]] * s.EMIT[path[0], symbols[0]] * np.prod([s.MOVE[a, b] * s.EMIT[b, o] for a, b, o in zip(path, path[1:], symbols[1:])])  # noqa: E731,B023
-        best = max(product(range(4), repeat=len(symbols)), key=score)
-        assert tuple(model.label([symbols, [0] * 9])[0]) == best
+    model = start_model()
+    seen = s.observe(["\n".join([PROSE.split("\n")[0], keywords(8), "[http://a.example/x boots]", "[[a]] [[b]]"]), keywords(5), PROSE], s.Lines())
+    like = model.likelihood(seen.steps)
+    for page in range(3):
+        x = like[seen.page == page]
+        score = lambda path: np.log(s.START[path[0]]) + sum(x[t, a] for t, a in enumerate(path)) + sum(np.log(s.MOVE[a, b]) for a, b in zip(path, path[1:]))  # noqa: E731,B023
+        assert tuple(model.label(seen)[seen.page == page]) == max(product(range(4), repeat=len(x)), key=score)
+
+
+def test_fit_against_plain_forward_backward():
+    pages = [PROSE + keywords(90), "\n".join(LISTS["links"].split("\n")[:5]), "[[a]]", PROSE]
+    seen = s.observe(pages, s.Lines())
+    model = start_model()
+    like = np.exp(model.likelihood(seen.steps))
+    move = s.MOVE * s.PRIOR
+    for page in range(len(pages)):
+        x = like[seen.page == page]
+        fore, rear = [s.START * x[0]], [np.ones(4)]
+        for t in range(1, len(x)):
+            fore.append((fore[-1] @ s.MOVE) * x[t])
+            rear.insert(0, s.MOVE @ (x[-t] * rear[0]))
+        for t in range(1, len(x)):
+            move = move + s.MOVE * np.outer(fore[t - 1], x[t] * rear[t]) / fore[-1].sum()
+    assert np.allclose(s.fit(seen, rounds=1).move, move / move.sum(1, keepdims=True))
+
+
+def test_quantities_against_plain_counts():
+    text = PROSE + keywords(95) + "\n* cheap\n" + keywords(41)
+    lines = s.Lines()
+    seen = s.observe(["x y", text, "", " "], lines)
+    words = [[lines.words.text[w] for w in seen.word[seen.word_piece == i]] for i in range(len(seen.page))]
+    mine = [i for i, p in enumerate(seen.page) if p == 1]
+    every = [w for i in mine for w in words[i]]
+    grid = s.GRID["same on page"]
+    for i in mine:
+        for pool, q in ((every, 5), (words[i], 6)):
+            chance = np.mean([(pool.count(w) - 1) / (len(pool) - 1) for w in words[i]]) if words[i] and len(pool) > 1 else None
+            unknown = chance is None or chance == 0 and len(words[i]) * (len(pool) - 1) < 256
+            assert seen.steps[i, q] == (-1 if unknown else np.searchsorted(grid, chance, "right"))
+    assert seen.words.sum() == len(s._WORD.findall(text)) + 2 and np.isclose(seen.chars[mine].sum(), sum(len(x) for x in text.split("\n")))
+    assert max(len(w) for w in words) <= s.PIECE
+
+
+def test_lines_are_read_alike_whatever_came_before(monkeypatch):
+    pages = [*LISTS.values(), *FINE.values(), "價格 " * 9]
+    once = s.observe(pages, s.Lines())
+    monkeypatch.setattr(s, "LINE_CHARS", 100)
+    lines = s.Lines()
+    for page in range(len(pages)):
+        seen = s.observe([pages[page]], lines)
+        assert np.array_equal(seen.steps, once.steps[once.page == page])
+
+
+def test_fit_decides():
+    """Names that are no words of any kind, one a line: only the sample shows that such lines stand in lists."""
+    def name():
+        return "".join(RNG.choice("bdfgklmnprst") + RNG.choice("aeiou") for _ in range(3)).title()
+
+    def page(n):
+        return "\n".join(f"[http://{name()}.example/ {name()}]\n{name()} {name()} {name()}" for _ in range(n))
+
+    sample = [page(20) for _ in range(60)] + [PROSE * 2] * 40
+    text = "\n".join([f"{name()} {name()} {name()}\n" * 3 + f"[http://{name()}.example/]" for _ in range(12)])
+    assert min(shares_of(text, start_model())) < 0.5
+    assert min(shares_of(text, fitted(sample))) > 0.5
+    assert max(shares_of(PROSE * 2, fitted(sample))) < 0.5
+
+
+def test_sequence_decides():
+    """The lines between keyword lists say nothing by themselves; those between paragraphs are the same."""
+    model = fitted([*LISTS.values(), *FINE.values()] * 3)
+    plain = ["Korda 12", "Velin 30", "Tamor 44"]
+    listed = "\n".join(f"{keywords(12)}\n{x}\n{keywords(12)}" for x in plain * 4)
+    told = "\n".join(f"{PROSE}{x}" for x in plain * 4)
+    flat = s.Model(model.start, np.tile(model.start, (4, 1)), model.emit)
+
+    def lists_of(text, m):
+        seen = s.observe([text], s.Lines())
+        few = np.array([len(x.split()) == 2 for x in text.split("\n") if x])
+        return s.lists(m.label(seen))[few]
+
+    assert lists_of(listed, model).all() and not lists_of(told, model).any()
+    assert lists_of(listed, flat).all() == lists_of(told, flat).all()
 
 
 def test_sales_words_help_short_pages(spark):
@@ -79,8 +169,8 @@ def test_sales_words_help_short_pages(spark):
 
 def test_long_runs_end_soon():
     for t in ["1" * 100_000, "|" + " " * 100_000, "_" * 100_000, "a." * 50_000, "<a " * 50_000, "[[" * 50_000, "{{cite " * 50_000, "$" * 100_000, "http://" * 20_000, "#" * 100_000, "x" * 100_000, " " * 100_000, "-1" * 50_000]:
-        s._suspect(t, frozenset({"x"}))
-        assert len(s.pieces(t).symbols) == len(s.pieces(t).chars)
+        seen = s.observe([t], s.Lines(frozenset({"x"})))
+        assert len(seen.page) == len(seen.steps) == len(seen.chars) and np.isclose(seen.chars.sum(), 0 if t.isspace() else len(t))
 
 
 def test_no_page_is_dropped_before_labelling(spark):

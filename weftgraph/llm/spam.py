@@ -1,21 +1,29 @@
 """Pages of repeated sales keywords, outside link lists or product tags, by a hidden Markov model over their lines.
 
-A page is cut into pieces (a line, at most ``PIECE`` tokens of it). Each piece
-is observed as one symbol, from what any language shows: the share of text in
-links to outside hosts, of tokens that are product tags (hash tags, prices,
-stock marks), of spelled-out or disguised words, of words that this page or
-line keeps repeating, of function words, and of wiki markup. Words are runs of
-letters and digits; of scripts without spaces, which have no such words, pairs
-of characters (Han, kana) or ``LONG_GRAM`` of them (Thai and others). Four hidden
-states (prose, link list, tag list, menu) explain the symbols; their
-probabilities start from fixed values and are fitted by Baum-Welch to the
-pieces of a bounded sample of pages (``FIT_PAGES``). Every page is then
-labelled by its most probable path, and flagged if link and tag lists hold more
-than half of its words and of its characters. Menus (internal links, tables,
-templates) are legitimate, so they count as neither.
-
-Words that mark list pieces (``sales``), counted over all pages, count as
-repeated in any page, since a short one can't repeat much.
+A page is cut into pieces (a line, or even parts of one of at most ``PIECE``
+words). Of each piece some quantities are observed that show in any language:
+the shares of text in links to outside hosts and in wiki markup, of words that
+are product tags, disguised, function words or sales words, the chance that
+another word of the page, or of the piece, is the same one, and the number of
+words. Each is rounded to a grid of powers of two (``GRID``), the same for
+every piece and page; what isn't defined for a piece (shares of no words) says
+nothing. No quantity decides anything by itself.
+
+Four hidden states (prose, link list, tag list, menu) explain the pieces: a
+state gives each quantity its own distribution, and steps from piece to piece
+have probabilities. Both start from ``LEVELS`` and are fitted by Baum-Welch to
+the pieces of a bounded sample of pages (``FIT_PAGES``); the starting values
+weigh no more than ``PRIOR`` pieces, so that a sample overrules them. Every
+page is then labelled by its most probable path, and flagged if link and tag
+lists hold more than half of its words and of its characters. Menus (internal
+links, tables, templates) are legitimate, so they count as neither.
+
+Sales words are those that list pieces hold and others hardly do, counted over
+all pages labelled without them; the model is then fitted again with them.
+
+Words are runs of letters and digits; of scripts without spaces, which have no
+such words, pairs of characters (Han, kana) or ``LONG_GRAM`` of them (Thai and
+others). Lines that a worker met before come from a bounded table.
 
 Every page that isn't blank is labelled.
 
@@ -27,10 +35,9 @@ table gives no rows; further columns are left out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +45,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("prose", "link list", "tag list", "menu")
-#: Tokens of a piece.
+#: Words of a piece.
 PIECE = 40
 #: Pages whose pieces fit the model, and rounds of fitting.
 FIT_PAGES = 1000
-FIT_ROUNDS = 3
-#: Pieces that the starting values weigh as much as.
-PRIOR = 400.0
-#: The same for the steps between states: lists are rare, so a sample says little of how they begin.
-MOVE_PRIOR = 20_000.0
-#: The same for the steps between states: lists are rare, so a sample says little of how they begin.
-MOVE_PRIOR = 20_000.0
-
-SYMBOLS = ("function words", "some function words", "neutral", "markup", "half repeated", "repeated", "a third repeated", "links", "some links", "tags", "disguised", "short", "half repeated with function words")
-#: The model's starting probabilities, a row for each state over SYMBOLS.
-EMIT = np.array(
+FIT_ROUNDS = 8
+#: Pieces of each state that its starting values weigh as much as, for the quantities and for the steps.
+PRIOR = 300.0
+#: Characters of pages that are labelled at once (at least a page).
+CHARS_AT_ONCE = 2_000_000
+#: Characters of lines, and different words, that a worker remembers.
+LINE_CHARS, WORDS = 6_000_000, 1_000_000
+
+_SHARES = (1e-9, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
+_CHANCES = (1e-9, 1 / 256, 1 / 128, 1 / 64, 1 / 32, 1 / 16)
+#: The observed quantities and the grid each is rounded to.
+GRID = {
+    "links": _SHARES,
+    "markup": _SHARES,
+    "tags": _SHARES,
+    "disguised": _SHARES,
+    "function": _SHARES,
+    "same on page": _CHANCES,
+    "same in piece": _CHANCES,
+    "words": (1, 3, 6, 12, 24),
+    "sales": _SHARES,
+}
+#: The step of each quantity's grid around which a state starts, a row for each state.
+LEVELS = np.array(
     [
-        [0.48, 0.12, 0.16, 0.06, 0.015, 0.002, 0.03, 0.006, 0.02, 0.002, 0.002, 0.06, 0.04],
-        [0.01, 0.02, 0.02, 0.02, 0.03, 0.06, 0.03, 0.62, 0.12, 0.02, 0.01, 0.03, 0.01],
-        [0.01, 0.01, 0.02, 0.01, 0.18, 0.42, 0.05, 0.02, 0.02, 0.12, 0.10, 0.02, 0.02],
-        [0.05, 0.06, 0.18, 0.42, 0.04, 0.015, 0.06, 0.01, 0.02, 0.01, 0.005, 0.12, 0.01],
+        [0.0, 1.0, 0.0, 0.0, 4.0, 2.5, 0.5, 4.0, 0.0],
+        [5.0, 1.0, 0.5, 0.0, 1.0, 3.5, 1.0, 3.0, 1.5],
+        [0.5, 0.5, 1.5, 1.5, 0.5, 5.0, 3.0, 4.0, 4.0],
+        [0.0, 4.0, 0.0, 0.0, 1.0, 3.0, 0.5, 2.0, 0.0],
     ]
 )
 START = np.array([0.5, 0.15, 0.15, 0.2])
@@ -77,14 +97,13 @@ _INNER = re.compile(r"\[\[[^\[\]]*\]\]?")
 _TAG = re.compile(r"#\w+|SKU[-: ]?\d+|[€$£¥]\s?\d[\d.,]*|(?<![\d.,])\d[\d.,]*+\s?[€£¥]|[★☆✓✔]++|[-+]\d++ ?%|IN STOCK", re.IGNORECASE)
 _DOTTED = re.compile(r"\b(?:\w[.·*_](?:[-][.·*_])?){2,}\w\b")
 _BREAK = re.compile(r"\n|<br\s*/?>", re.IGNORECASE)
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[\w@$]+")
 _MARK = re.compile(r"\[\[[^\[\]]*\]\]|\{\{[^{}|]*|\|\||\|-|\{\||\|\}|!!|^[*#:;!|=]+|\|[\w ]++=|\}\}", re.MULTILINE)
 _FOLD = str.maketrans("013457@$", "oieastas")
-_DISGUISED = re.compile(r"(?=[^\W\d_]*[0134579@$])(?=\S*[^\W\d_])[\w@$-]{3,}$")
-#: What any match of _DOTTED, of _TAG (besides sku, in stock) and of _DISGUISED holds.
+_DISGUISED = re.compile(r"(?=[^\W\d_]*[0134579@$])(?=.*[^\W\d_])[\w@$]{3,}$")
+#: What any match of _DOTTED and of _TAG (besides sku, in stock) holds.
 _SPREAD = re.compile(r"[.·*_](?:-[.·*_])?\w[.·*_]")
 _SIGN = re.compile(r"[#€$£¥★☆✓✔%]")
-_SHAPE = re.compile(r"[0134579@$]")
 #: Scripts without spaces, each run of them for itself; those (and Hangul) whose words are mostly two characters; pairs of grammar rather than of things.
 _HAN = "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 _KANA = "\u3041-\u3096\u30a1-\u30fa\u30fc\u31f0-\u31ff\uff66-\uff9f"
@@ -95,147 +114,196 @@ _RUN = re.compile(f"[{_HAN}{_KANA}]+|[{_JOINED}]+|(?:(?![{_HAN}{_KANA}{_JOINED}]
 _GRAMMAR = re.compile("(?=.{1,2}$).?[\u3041-\u3096的了是在和与與为為之也于於]")
 #: Characters of a word of the scripts without spaces that spell sounds.
 LONG_GRAM = 5
-_EDGE = ".,;:!?|()[]{}<>\"'«»“”„-–—•*=/\\"
-#: A sales word stands in list pieces of so many pages, and so many times as often as elsewhere.
-WORD_PAGES, WORD_RATIO = 3, 4
-#: Most sales words that are kept, and distinct words a task holds before it sends their counts.
-SALES_WORDS, HELD_WORDS = 50_000, 200_000
+#: A sales word stands in list pieces of so many pages, and so many times as often as elsewhere; at most so many are kept.
+WORD_PAGES, WORD_RATIO, SALES_WORDS = 3, 4, 50_000
 
 
-def _suspect(text: str, sales: frozenset[str] = frozenset()) -> bool:
-    """Whether a page is labelled: all but blank ones are, as what a piece looks like depends on its line and page."""
-    return not text.isspace() and text != ""
-
-
-@lru_cache(1 << 16)
-def _parts(token: str) -> tuple[str, ...]:
-    """The words of what white space cuts out: its runs of letters and digits, and character n-grams of scripts without spaces."""
-    if token.replace(",", "").replace(".", "").isdigit():
-        return (token,)
+def _parts(run: str) -> list[str]:
+    """The words of a run of letters and digits: itself without disguise, and n-grams of scripts without spaces."""
     out: list[str] = []
-    for w in _RUN.findall(token):
+    for w in _RUN.findall(run):
         if _UNSPACED.match(w):
             size = 2 if _PAIRED.match(w) else LONG_GRAM
             out.extend([w[i : i + size] for i in range(max(1, len(w) - size + 1))])
         else:
-            out.append(w if w.isalpha() or w.isdigit() else w.translate(_FOLD))
-    return tuple(out)
-
+            out.append(w)
+    return out
 
-@dataclass
-class Pieces:
-    symbols: list[int]
-    words: list[int]
-    chars: list[int]
 
+def _counts(word: str) -> bool:
+    """Whether repeating a word tells anything."""
+    return (len(word) > 2 or len(word) == 2 and not word.isascii() and _PAIRED.match(word) is not None) and word not in FUNCTION_WORDS and not word.isdigit() and (word.isascii() or not _GRAMMAR.match(word))
 
-def pieces(text: str, sales: frozenset[str] = frozenset(), seen: list[list[str]] | None = None) -> Pieces:
-    """The symbol, words and characters of each piece of a page.
 
-    ``sales`` are words that count as repeated wherever they stand; ``seen``
-    receives the words of each piece.
-    """
-    out = Pieces([], [], [])
-    lines = []
-    for line in _BREAK.split(text) if "<" in text else text.split("\n"):
-        if not line.strip():
-            continue
+class Words(dict):
+    """Words as numbers, with what each is known to be; equal numbers in ``plain`` are one word, however disguised."""
+
+    def __init__(self, sales: frozenset[str]):
+        self.sales, self.text, self.plain = sales, [], np.zeros(1024, np.int64)
+        self.flags = np.zeros((4, 1024), np.float32)  # tells something if repeated, function word, sales word, disguised
+
+    def __missing__(self, w: str) -> int:
+        k = self[w] = len(self.text)
+        self.text.append(w)
+        if k == len(self.plain):
+            self.plain = np.concatenate([self.plain, self.plain])
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)], 1)
+        real = w if w.isalpha() or w.isdigit() else w.replace("_", "").translate(_FOLD)
+        self.plain[k] = k if real == w else self[real]
+        grammar = not w.isascii() and _GRAMMAR.match(w) is not None
+        self.flags[:, k] = _counts(real), real in FUNCTION_WORDS or grammar, real in self.sales, real != w and _DISGUISED.match(w) is not None
+        return k
+
+
+class Lines(dict):
+    """Lines as they were read, by number (-1: blank), and the words of a worker; both of a bounded size."""
+
+    def __init__(self, sales: frozenset[str] = frozenset()):
+        self.sales = sales
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.words = Words(self.sales)
+        self.held = self.n = 0
+        self.stats = np.zeros((1024, len(_STATS)))
+        self.ids = np.zeros(1 << 15, np.int32)
+        self.first = np.zeros(1025, np.int64)
+
+    def __missing__(self, line: str) -> int:
+        if not line or line.isspace():
+            self[line] = -1
+            return -1
+        k = self.n
+        self.n += 1
+        if k == len(self.stats):
+            self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
+            self.first = np.concatenate([self.first, np.zeros(k, np.int64)])
+        words, self.stats[k] = self._read(line)
+        begin, end = self.first[k], self.first[k] + len(words)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[begin:end] = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        self.first[k + 1] = end
+        self.held += len(line)
+        self[line] = k
+        return k
+
+    def _read(self, line: str) -> tuple[list[str], tuple]:
+        """The words that are no links and no markup, and the counts named by ``_STATS``."""
         # each pattern is tried only where something stands that any match of it holds
         low = line.lower()
         angle = "<" in line
         spread = _REF.sub(" ", line) if angle or "{{" in line else line
         links = sum([len(m) for m in _LINK.findall(line)]) if angle or "//" in line or "www." in low else 0
         rest = _LINK.sub(" ", spread) if links else spread
-        inner = _INNER.sub(" ", rest) if "[[" in rest else rest
-        disguised = 0
-        plain = inner
+        inner = plain = _INNER.sub(" ", rest) if "[[" in rest else rest
+        dotted = 0
         if ("." in plain or "*" in plain or "·" in plain) and _SPREAD.search(plain):
-            found = _DOTTED.findall(plain)
-            disguised = len(found)
-            if found:
+            dotted = len(_DOTTED.findall(plain))
+            if dotted:
                 plain = _DOTTED.sub(lambda m: re.sub(r"[.·*_]", "", m[0]), plain)
         tags = len(_TAG.findall(inner)) if _SIGN.search(inner) or "ku" in low or "tock" in low else 0
-        lines.append((line, links, (low if plain is line else plain.lower()).split(), disguised, tags))
-    page: Counter[str] = Counter()
-    folded = []
-    spaced = not _UNSPACED.search(text)
-    for _, _, tokens, _, _ in lines:
-        ws = []
-        for t in tokens:
-            if t.isalpha() and (spaced or t.isascii()):
-                ws.append(t)
-            else:
-                ws.extend(_parts(t))
-        folded.append(ws)
-        page.update(ws)
-    n_page = max(1, sum([len(w) for w in folded]))
-    least = max(min(4, 2 + n_page / 40), 0.012 * n_page)
-    often = {w for w, v in page.items() if v >= least and _counts(w)} | sales.intersection(page)
-    for (line, links, tokens, disguised, tags), ws in zip(lines, folded):
-        known = often
-        if len(ws) >= 24:
-            own, least = Counter(ws), max(3, 0.03 * len(ws))
-            if more := [w for w, v in own.items() if v >= least and w not in often and _counts(w)]:
-                known = often.union(more)
-        parts = range(0, max(1, len(ws)), PIECE)
-        all_words, share = len(_WORD.findall(line)), 1 / len(parts)
-        if not spaced and _UNSPACED.search(line):
-            all_words = max(all_words, len(ws))
-        link_share = links / len(line)
-        mark = sum([len(m) for m in _MARK.findall(line)]) / len(line) if line[0] in "*#:;!|=" or "[[" in line or "{{" in line or "|" in line or "!!" in line or "}}" in line else 0.0
-        shapes = [0] * len(ws)  # at the first word of each disguised token
-        if _SHAPE.search(line):
-            i = 0
-            for t in tokens:
-                if t.isalpha():
-                    i += 1 if spaced or t.isascii() else len(_parts(t))
-                    continue
-                if (k := len(_parts(t))) and _DISGUISED.match(t.strip(".,;|")) and not t.strip(_EDGE).isdigit():
-                    shapes[i] = 1
-                i += k
-        for at in parts:
-            real = ws[at : at + PIECE]
-            if seen is not None:
-                seen.append(real)
-            n = len(real)
-            repeated = sum([w in known for w in real]) / n if n else 0.0
-            function = sum([w in FUNCTION_WORDS for w in real]) / n if n else 0.0
-            if not spaced and n:
-                function += sum([1 for w in real if _GRAMMAR.match(w)]) / n
-            odd = (disguised * share + sum(shapes[at : at + PIECE])) / n if n else 0.0
-            out.symbols.append(_symbol(n, link_share, tags * share / n if n else 0.0, odd, repeated, function, mark))
-            out.words.append(all_words * share)
-            out.chars.append(len(line) * share)
-    return out
+        words = every = _WORD.findall(low)
+        if plain is not line:
+            words = _WORD.findall(plain.lower())
+        if not line.isascii() and _UNSPACED.search(line):
+            words = [p for w in words for p in _parts(w)]
+            every = max(every, words, key=len)
+        marked = line[0] in "*#:;!|=" or "[[" in line or "{{" in line or "|" in line or "!!" in line or "}}" in line
+        markup = sum([len(m) for m in _MARK.findall(line)]) if marked else 0
+        return words, (len(line), len(every), links, markup, tags, dotted)
 
 
-def _counts(word: str) -> bool:
-    """Whether repeating a word tells anything."""
-    return (len(word) > 2 or len(word) == 2 and not word.isascii() and _PAIRED.match(word) is not None) and word not in FUNCTION_WORDS and not word.isdigit() and (word.isascii() or not _GRAMMAR.match(word))
+#: What is counted of a line.
+_STATS = ("chars", "words", "links", "markup", "tags", "dotted")
 
 
-def _symbol(n: int, links: float, tags: float, odd: float, repeated: float, function: float, mark: float) -> int:
-    if links >= 0.5:
-        return 7
-    if n < 3:
-        return 8 if links >= 0.2 else 3 if mark >= 0.3 else 11
-    if tags >= 0.2:
-        return 9
-    if odd >= 0.25:
-        return 10
-    if repeated >= 0.55:
-        return 5
-    if links >= 0.2:
-        return 8
-    if repeated >= 0.35:
-        return 12 if function >= 0.15 else 4
-    if mark >= 0.3:
-        return 3
-    if function >= 0.15:
-        return 0
-    if repeated >= 0.15 and function < 0.05:
-        return 6
-    return 1 if function >= 0.05 else 2
+@dataclass
+class Observed:
+    """The pieces of some pages: quantities as steps of their grids (-1: not defined), words and characters, and whose they are.
+
+    ``word``, ``word_piece`` and ``word_page`` have the words that repeating
+    tells something of, in order of page and word.
+    """
+
+    steps: np.ndarray
+    words: np.ndarray
+    chars: np.ndarray
+    page: np.ndarray
+    word: np.ndarray
+    word_piece: np.ndarray
+    word_page: np.ndarray
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(whole > 0, part / np.maximum(whole, 1), np.nan)
+
+
+def observe(texts: list[str], lines: Lines) -> Observed:
+    """The pieces of pages, in order."""
+    if lines.held > LINE_CHARS or len(lines.words) > WORDS:
+        lines.forget()
+    cut = [_BREAK.split(t) if "<b" in t or "<B" in t else t.split("\n") for t in texts]
+    number = np.fromiter(map(lines.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+    on = np.repeat(np.arange(len(texts)), [len(c) for c in cut])[number >= 0]
+    number = number[number >= 0]
+    n = len(number)
+    rows = dict(zip(_STATS, lines.stats[number].T))
+    first = lines.first[number]
+    own = lines.first[number + 1] - first
+    cuts = np.maximum(1, -(-own // PIECE))
+    line = np.repeat(np.arange(n), cuts)
+    page = on[line]
+    at = np.repeat(np.arange(n), own)
+    place = np.arange(len(at)) - (np.cumsum(own) - own)[at]
+    ids = lines.ids[first[at] + place]
+    piece = (np.cumsum(cuts) - cuts)[at] + place * cuts[at] // np.maximum(own[at], 1)
+    k = len(line)
+    n_words = np.bincount(piece, minlength=k)
+    counts, function, sales, disguised = (f[ids] for f in lines.words.flags)
+    telling = counts > 0
+    n_telling = np.bincount(piece[telling], minlength=k)
+    word, where = lines.words.plain[ids[telling]], piece[telling]
+    whose = page[where]
+    order = np.argsort(whose * max(1, len(lines.words)) + word, kind="stable")
+    word, where, whose = word[order], where[order], whose[order]
+    new = np.r_[True, (word[1:] != word[:-1]) | (whose[1:] != whose[:-1])][: len(word)]
+    here = new | np.r_[True, where[1:] != where[:-1]][: len(word)]
+
+    def chance(begins: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Of each piece, how probably another of ``total`` words is the same as one of its own; not defined if none is among fewer pairs than the grid's finest step."""
+        run = np.cumsum(begins) - 1
+        same = np.bincount(where, np.bincount(run)[run] - 1, k) if len(run) else np.zeros(k)
+        of = n_telling * (total - 1)
+        return np.where((same > 0) | (of * _CHANCES[1] >= 1), _share(same, of), np.nan)
+
+    of_page = np.bincount(whose, minlength=len(texts))[page] if k else n_telling
+    quantities = {
+        "links": (rows["links"] / rows["chars"])[line],
+        "markup": (rows["markup"] / rows["chars"])[line],
+        "tags": _share(rows["tags"], own)[line],
+        "disguised": _share(np.bincount(piece, disguised, k) + (rows["dotted"] / cuts)[line], n_words),
+        "function": _share(np.bincount(piece, function, k), n_words),
+        "same on page": chance(new, of_page),
+        "same in piece": chance(here, n_telling),
+        "words": n_words.astype(np.float64),
+        "sales": _share(np.bincount(piece, sales, k), n_telling) if lines.sales else np.full(k, np.nan),
+    }
+    steps = np.stack([np.where(np.isnan(q), -1, np.searchsorted(GRID[name], q, "right")) for name, q in quantities.items()], 1).astype(np.int8)
+    return Observed(steps, (rows["words"] / cuts)[line], (rows["chars"] / cuts)[line], page, word, where, whose)
+
+
+def starting_emissions() -> np.ndarray:
+    """(quantity, state, step): falling off by a factor e for each step away from the state's level."""
+    widest = max(len(g) for g in GRID.values()) + 1
+    out = np.zeros((len(GRID), len(STATES), widest + 1))
+    for q, grid in enumerate(GRID.values()):
+        steps = np.arange(len(grid) + 1)
+        near = np.exp(-np.abs(steps - LEVELS[:, q, None]))
+        out[q, :, : len(steps)] = near / near.sum(1, keepdims=True)
+    out[:, :, -1] = 1  # what isn't defined
+    return out
 
 
 @dataclass
@@ -245,125 +313,167 @@ class Model:
     emit: np.ndarray
     sales: frozenset[str] = frozenset()
 
-    def label(self, pages: list[list[int]]) -> list[np.ndarray]:
-        """The most probable states of each page's symbols; pages of like length go together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    def likelihood(self, steps: np.ndarray) -> np.ndarray:
+        """The log-likelihood of each piece in each state."""
         with np.errstate(divide="ignore"):
-            start, move, emit = np.log(self.start), np.log(self.move), np.log(self.emit)
-        for at in range(0, len(order), 256):
-            mine = order[at : at + 256]
-            lengths = np.array([len(pages[i]) for i in mine])
-            longest = int(lengths.max())
-            sym = np.zeros((len(mine), longest), np.int64)
-            for r, i in enumerate(mine):
-                sym[r, : lengths[r]] = pages[i]
-            back = np.zeros((longest, len(mine), len(STATES)), np.int8)
-            score = start + emit.T[sym[:, 0]]
-            for t in range(1, longest):
+            table = np.log(self.emit)
+        out = np.zeros((len(steps), len(STATES)))
+        for q in range(len(GRID)):
+            out += table[q].T[steps[:, q]]
+        return out
+
+    def label(self, seen: Observed) -> np.ndarray:
+        """The state of each piece on its page's most probable path."""
+        like = self.likelihood(seen.steps)
+        path = np.zeros(len(like), np.int8)
+        start, move = np.log(self.start), np.log(self.move)
+        for rows, live in _together(seen.page):
+            x = like[rows]
+            back = np.zeros((x.shape[1], len(x), len(STATES)), np.int8)
+            score = start + x[:, 0]
+            for t in range(1, x.shape[1]):
                 ways = score[:, :, None] + move
                 best = ways.argmax(1)
-                live = (t < lengths)[:, None]
-                back[t] = np.where(live, best, np.arange(len(STATES)))
-                score = np.where(live, np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + emit.T[sym[:, t]], score)
+                on = live[:, t, None]
+                back[t] = np.where(on, best, np.arange(len(STATES)))
+                score = np.where(on, ways.max(1) + x[:, t], score)
             state = score.argmax(1)
-            path = np.zeros((len(mine), longest), np.int8)
-            rows = np.arange(len(mine))
-            for t in range(longest - 1, -1, -1):
-                path[:, t] = state
-                state = back[t, rows, state]
-            for r, i in enumerate(mine):
-                out[i] = path[r, : lengths[r]]
-        return out
-
-
-def fit(pages: list[list[int]], rounds: int = FIT_ROUNDS, prior: float = PRIOR) -> Model:
+            mine = np.zeros(rows.shape, np.int8)
+            pages = np.arange(len(x))
+            for t in range(x.shape[1] - 1, -1, -1):
+                mine[:, t] = state
+                state = back[t, pages, state]
+            path[rows[live]] = mine[live]
+        return path
+
+
+def _together(page: np.ndarray, cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pages of like length as rows of piece numbers, and which of these count."""
+    if not len(page):
+        return
+    first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    size = np.diff(np.r_[first, len(page)])
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and size[order[end]] * (end + 1 - at) <= cells and size[order[end]] <= 1.3 * size[order[at]] + 4:
+            end += 1
+        mine = order[at:end]
+        t = np.arange(size[mine].max())
+        live = t < size[mine, None]
+        yield np.where(live, first[mine, None] + t, first[mine, None]), live
+        at = end
+
+
+def fit(seen: Observed, sales: frozenset[str] = frozenset(), rounds: int = FIT_ROUNDS, prior: float = PRIOR) -> Model:
     """Baum-Welch from the starting values, which stay in as ``prior`` pieces a state."""
-    model = Model(START, MOVE, EMIT)
-    pages = sorted(p for p in pages if p)  # whatever order the sample came in
+    first = starting_emissions()
+    model = Model(START, MOVE, first, sales)
     for _ in range(rounds):
-        begin, move, emit = START * prior / 10, MOVE * MOVE_PRIOR, EMIT * prior
-        for symbols in pages:
-            like = model.emit[:, symbols].T
-            fore, scale = np.zeros_like(like), np.zeros(len(like))
-            fore[0] = model.start * like[0]
-            scale[0] = fore[0].sum()
-            fore[0] /= scale[0]
-            for t in range(1, len(like)):
-                fore[t] = (fore[t - 1] @ model.move) * like[t]
-                scale[t] = fore[t].sum()
-                fore[t] /= scale[t]
-            rear = np.ones_like(like)
-            for t in range(len(like) - 2, -1, -1):
-                rear[t] = model.move @ (like[t + 1] * rear[t + 1]) / scale[t + 1]
+        begin, move, held = START * prior / 10, MOVE * prior, np.zeros((len(seen.steps), len(STATES)))
+        like = model.likelihood(seen.steps)
+        like = np.exp(like - like.max(1, keepdims=True)) + 1e-300
+        for rows, live in _together(seen.page):
+            x = np.where(live[:, :, None], like[rows], 1.0)
+            fore, rear, scale = np.zeros_like(x), np.ones_like(x), np.ones(x.shape[:2])
+            for t in range(x.shape[1]):
+                f = (model.start if t == 0 else fore[:, t - 1] @ model.move) * x[:, t]
+                scale[:, t] = f.sum(1)
+                fore[:, t] = f / scale[:, t, None]
+            for t in range(x.shape[1] - 2, -1, -1):
+                on = live[:, t + 1, None]
+                rear[:, t] = np.where(on, (x[:, t + 1] * rear[:, t + 1] / scale[:, t + 1, None]) @ model.move.T, 1.0)
             at = fore * rear
-            begin = begin + at[0]
-            move = move + model.move * (fore[:-1].T @ (like[1:] * rear[1:] / scale[1:, None]))
-            emit = emit.copy()
-            np.add.at(emit.T, symbols, at)
-        model = Model(begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+            begin = begin + at[:, 0].sum(0)
+            ahead = np.where(live[:, 1:, None], x[:, 1:] * rear[:, 1:] / scale[:, 1:, None], 0.0)
+            move = move + model.move * np.einsum("pti,ptj->ij", fore[:, :-1], ahead)
+            held[rows[live]] = at[live]
+        emit = first * prior
+        for q in range(len(GRID)):
+            known = seen.steps[:, q] >= 0
+            for s in range(len(STATES)):
+                emit[q, s] += np.bincount(seen.steps[known, q], held[known, s], emit.shape[2])
+        emit[:, :, :-1] /= emit[:, :, :-1].sum(2, keepdims=True)
+        emit[:, :, -1] = 1
+        model = Model(begin / begin.sum(), move / move.sum(1, keepdims=True), emit, sales)
     return model
 
 
-def tally(words: list[list[list[str]]], states: list[np.ndarray], inside: Counter[str], outside: Counter[str]) -> None:
-    """Adds up the pages that hold each word in list pieces, and in others; the empty word counts the pages with such pieces."""
-    for page, labels in zip(words, states):
-        lists = (labels == 1) | (labels == 2)
-        for held, pages in ((lists, inside), (~lists, outside)):
-            if held.any():
-                pages.update({w for piece, h in zip(page, held) if h for w in piece if w.isalpha() or _UNSPACED.match(w)})
-                pages[""] += 1
+def lists(states: np.ndarray) -> np.ndarray:
+    return (states == 1) | (states == 2)
+
 
+_SCHEMA = "doc_id bigint, n_words bigint, word_share double, char_share double"
 
-def learn(texts: list[str]) -> Model:
-    """Fits the model, yet without sales words."""
-    return fit([pieces(t).symbols for t in texts])
 
+def _some(b: pa.RecordBatch, text: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows that aren't blank and their texts, a bounded number of characters at once."""
+    rows, texts, held = [], [], 0
+    for i, t in enumerate(b.column(text).to_pylist()):
+        if t and not t.isspace():
+            rows.append(i)
+            texts.append(t)
+            held += len(t)
+            if held > CHARS_AT_ONCE:
+                yield rows, texts
+                rows, texts, held = [], [], 0
+    if rows:
+        yield rows, texts
 
-_SCHEMA = "doc_id bigint, n_words bigint, word_share double, char_share double"
+
+def shares(seen: Observed, states: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each page, and the shares of words and of characters in lists."""
+    on = lists(states)
+    words, chars = (np.bincount(seen.page, w, pages) for w in (seen.words, seen.chars))
+    return words, np.bincount(seen.page, seen.words * on, pages) / np.maximum(words, 1), np.bincount(seen.page, seen.chars * on, pages) / np.maximum(chars, 1)
 
 
 def _labeller(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        lines = Lines(model.sales)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 2000):
-                some = [(i, pieces(t, model.sales)) for i, t in zip(ids[at : at + 2000], texts[at : at + 2000]) if t and _suspect(t, model.sales)]
-                rows = []
-                for (i, p), states in zip(some, model.label([p.symbols for _, p in some])):
-                    if len(states):
-                        spam = (states == 1) | (states == 2)
-                        words, chars = np.array(p.words), np.array(p.chars)
-                        rows.append((i, round(words.sum()), float(words[spam].sum() / max(words.sum(), 1)), float(chars[spam].sum() / chars.sum())))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "n_words", "word_share", "char_share"])
+            for rows, texts in _some(b, 1):
+                seen = observe(texts, lines)
+                words, by_words, by_chars = shares(seen, model.label(seen), len(texts))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.rint(words).astype(np.int64)), pa.array(by_words), pa.array(by_chars)], names=["doc_id", "n_words", "word_share", "char_share"])
 
     return run
 
 
+def tally(seen: Observed, states: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of words numbered below n, the pages with each in list pieces and in others; and the pages that have such pieces."""
+    inside = lists(states)
+    pairs = [np.unique(seen.word_page[on] * n + seen.word[on]) % n for on in (inside[seen.word_piece], ~inside[seen.word_piece])]
+    return *(np.bincount(p, minlength=n) for p in pairs), len(np.unique(seen.page[inside])), len(np.unique(seen.page[~inside]))
+
+
 def _tallier(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        inside, outside = Counter(), Counter()
+        lines = Lines()
+        counts = np.zeros((2, 0), np.int64)
+        pages = [0, 0]
+        words = lines.words.text
 
         def told() -> pa.RecordBatch:
-            words = ["", *{w for c in (inside, outside) for w in c if _counts(w)}]
-            rows = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (inside, outside))], names=["word", "inside", "outside"])
-            inside.clear()
-            outside.clear()
-            return rows
+            here = np.flatnonzero(counts.any(0))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(["", *[words[i] for i in here]], pa.string()), *(pa.array(np.r_[pages[k], counts[k, here]], pa.int64()) for k in (0, 1))],
+                names=["word", "inside", "outside"],
+            )
 
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 2000):
-                words, symbols = [], []
-                for t in texts[at : at + 2000]:
-                    words.append([])
-                    symbols.append(pieces(t, seen=words[-1]).symbols)
-                tally(words, model.label(symbols), inside, outside)
-                if len(inside) + len(outside) > HELD_WORDS:
+            for _, texts in _some(b, 0):
+                seen = observe(texts, lines)
+                if lines.words.text is not words:  # they were forgotten, and numbered anew
                     yield told()
+                    words, counts, pages = lines.words.text, np.zeros((2, 0), np.int64), [0, 0]
+                n = len(words)
+                inside, outside, a, z = tally(seen, model.label(seen), n)
+                counts = np.pad(counts, ((0, 0), (0, n - counts.shape[1]))) + [inside, outside]
+                pages = [pages[0] + a, pages[1] + z]
         yield told()
 
     return run
@@ -372,8 +482,9 @@ def _tallier(sent):
 def sales_words(docs: DataFrame, model: Model) -> frozenset[str]:
     """The words of list pieces that other pieces hardly have, by the pages of all ``docs`` that hold them.
 
-    Tasks send counts of at most ``HELD_WORDS`` words at once (besides those of
-    2000 pages); at most ``SALES_WORDS`` words are collected, those of the most pages.
+    A task sends each of its words once (once more for every ``WORDS``
+    different ones); at most ``SALES_WORDS`` words, those of the most pages,
+    are collected and become part of the model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     found = docs.filter("text is not null").select("text").mapInArrow(_tallier(sent), "word string, inside bigint, outside bigint")
@@ -384,11 +495,12 @@ def sales_words(docs: DataFrame, model: Model) -> frozenset[str]:
         often = F.col("inside") / pages.inside > WORD_RATIO * F.col("outside") / max(pages.outside, 1)
         words = counts.filter((F.col("word") != "") & often).orderBy(F.desc("inside"), "word").limit(SALES_WORDS).collect()
     counts.unpersist()
+    sent.destroy()
     return frozenset(r.word for r in words)
 
 
-def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
-    """The model fitted to at most ``fit_pages`` pages, those of the smallest hash, with the sales words of all pages.
+def sample_pages(docs: DataFrame, fit_pages: int = FIT_PAGES) -> list[str]:
+    """The texts of at most ``fit_pages`` pages, those of the smallest hash, in its order.
 
     Only pages below a hash that about four times as many pass are sorted, so
     that all tasks together send no more than a few times the sample.
@@ -396,10 +508,14 @@ def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     n = docs.count()
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     few = docs.filter(F.col("text").isNotNull() & (place < int(min(1.0, 4 * fit_pages / max(n, 1)) * (1 << 40))))
-    rows = few.orderBy(place).limit(fit_pages).collect()
-    model = learn([r.text for r in rows])
-    model.sales = sales_words(docs, model)
-    return model
+    return [r.text for r in few.orderBy(place).limit(fit_pages).collect()]
+
+
+def sample_model(docs: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
+    """The model fitted to a sample of pages, with the sales words of all pages."""
+    texts = sample_pages(docs, fit_pages)
+    sales = sales_words(docs, fit(observe(texts, Lines())))
+    return fit(observe(texts, Lines(sales)), sales)
 
 
 def list_shares(docs: DataFrame, fit_pages: int = FIT_PAGES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
