@@ -15,9 +15,12 @@ ever); a reference is an orphan if no row of its target is live at its time.
 The cause is ``missing`` (no row has the key), ``early`` (all begin after the
 reference) or ``deleted``.
 
-Hot reference keys are salted. Hot target keys are cut into months: intervals
-that cover a whole month become equal and collapse before the shuffle, and a
-reference meets only those of its month.
+References of one hot key are split by adaptive execution, which may split the
+left side of an anti join and of a left join: each join here reads its sides
+straight from a shuffle and the next step needs no order of theirs, so nothing
+forbids it. Hot target keys are cut into months: intervals that cover a whole
+month become equal and collapse before the shuffle, and a reference meets only
+those of its month.
 
 Defined cases: a target with a null start is never live, one that ends before
 it starts neither; a reference with a null time is an orphan, ``missing`` or
@@ -33,8 +36,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import hot_keys, is_hot, salted_join
-from ..session import cut
+from ..functions.skew import hot_keys, is_hot
 
 #: From this number of different intervals a target key is cut into months.
 HOT_INTERVALS = 1000
@@ -59,8 +61,8 @@ def orphans(refs: DataFrame, targets: DataFrame, on: Sequence[tuple[str, str]],
     """(row_key, at, cause) of each reference without a live target; ``on`` holds pairs of reference and target column."""
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"match semantics {match!r}")
-    left = refs.select(*(F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(on)), row_key.alias("row_key"), F.col(at).alias("at")).dropDuplicates()
-    right = targets.select(*(F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(on)), F.col(start).alias("start"), F.col(end).alias("end")).dropDuplicates()
+    left = refs.select(*(F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(on)), row_key.alias("row_key"), F.col(at).alias("at"))
+    right = targets.select(*(F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(on)), F.col(start).alias("start"), F.col(end).alias("end"))
     keys = [f"k{i}" for i in range(len(on))]
     out = None
     for nulls in product((False, True), repeat=len(keys)):
@@ -68,27 +70,27 @@ def orphans(refs: DataFrame, targets: DataFrame, on: Sequence[tuple[str, str]],
             continue
         mine = left.filter(_mask(keys, nulls))
         if any(nulls) and match == "full":
-            found = mine.select("row_key", "at", F.lit("missing").alias("cause"))
+            found = mine.select("row_key", "at", F.lit("missing").alias("cause")).distinct()
         else:
             cols = [k for k, n in zip(keys, nulls) if not n]
             found = _without_live(mine.select(*cols, "row_key", "at"), right.select(*cols, "start", "end").na.drop(subset=cols), cols, hot_intervals)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates()
+    return out
 
 
 def _without_live(refs: DataFrame, targets: DataFrame, keys: list[str], hot_intervals: int) -> DataFrame:
-    real = targets.filter(F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start")))).dropDuplicates()
+    real = targets.filter(F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start"))))
     live = (F.col("start") <= F.col("at")) & (F.col("end").isNull() | (F.col("end") > F.col("at")))
     hot = hot_keys(real, keys, hot_intervals)
+    on = keys
     if hot:
-        real, refs = _by_month(real, refs, keys, hot)
-        dead = salted_join(refs, real, [*keys, "month"], "left_anti", live).drop("month")
-    else:
-        dead = salted_join(refs, real, keys, "left_anti", live)
-    dead = cut(dead)
+        real, refs = _by_month(real.distinct(), refs, keys, hot)
+        on = [*keys, "month"]
+    real = real.withColumnsRenamed({c: f"_{c}" for c in on})
+    dead = refs.join(real, _all([F.col(c) == F.col(f"_{c}") for c in on]) & live, "left_anti").select(*keys, "row_key", "at").distinct()
     known = targets.groupBy(*keys).agg(F.min("start").alias("first"), F.lit(True).alias("known"))
     cause = F.when(F.col("known").isNull(), "missing").when(F.col("first") > F.col("at"), "early").otherwise("deleted")
-    return salted_join(dead, known, keys, "left").select("row_key", "at", cause.alias("cause"))
+    return dead.join(known, keys, "left").select("row_key", "at", cause.alias("cause"))
 
 
 def _by_month(real: DataFrame, refs: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -114,13 +116,15 @@ def corpus_orphans(corpora: DataFrame, texts: DataFrame, nodes: DataFrame) -> Da
     """The orphan references of texts and nodes, by table, field and month."""
     text_key = F.concat(F.col("corpus_ref").cast("string"), F.lit("/"), F.coalesce(F.col("text_id").cast("string"), F.lit("")))
     node_key = F.col("node_id").cast("string")
+
+    def keyed(df: DataFrame, tab: str, key: Column, *cols: str) -> DataFrame:
+        return df.select(*cols, "loaded_at", F.struct(F.lit(tab).alias("tab"), key.alias("row_key")).alias("row"))
+
+    life = ("loaded_at", "loaded_at", "deleted_at")
+    to_corpora = keyed(texts, "texts", text_key, "corpus_ref").unionByName(keyed(nodes, "nodes", node_key, "corpus_ref"))
     parts = [
-        ("texts", "corpus_ref", orphans(texts, corpora, [("corpus_ref", "corpus_id")], text_key, "loaded_at", "loaded_at", "deleted_at")),
-        ("nodes", "corpus_ref", orphans(nodes, corpora, [("corpus_ref", "corpus_id")], node_key, "loaded_at", "loaded_at", "deleted_at")),
-        ("nodes", "text_id", orphans(nodes, texts, [("corpus_ref", "corpus_ref"), ("text_id", "text_id")], node_key, "loaded_at", "loaded_at", "deleted_at")),
+        ("corpus_ref", orphans(to_corpora, corpora, [("corpus_ref", "corpus_id")], F.col("row"), *life)),
+        ("text_id", orphans(keyed(nodes, "nodes", node_key, "corpus_ref", "text_id"), texts, [("corpus_ref", "corpus_ref"), ("text_id", "text_id")], F.col("row"), *life)),
     ]
-    out = None
-    for tab, field, df in parts:
-        one = df.select(F.lit(tab).alias("tab"), F.lit(field).alias("ref_field"), "row_key", "cause", F.date_format("at", "yyyy-MM").alias("period"))
-        out = one if out is None else out.unionByName(one)
-    return out.dropDuplicates()
+    a, b = (df.select("row_key.tab", F.lit(field).alias("ref_field"), "row_key.row_key", "cause", F.date_format("at", "yyyy-MM").alias("period")) for field, df in parts)
+    return a.unionByName(b).distinct()
