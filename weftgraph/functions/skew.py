@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MAX_HOT = 1000
 #: A key is hot from this number of rows.
 HOT_ROWS = 100_000
+#: A side is broadcast if it was counted to at most so many rows.
+BROADCAST_ROWS = 100_000
 #: Hot rows are spread over so many buckets.
 SALTS = 64
 
@@ -64,7 +66,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return lhs.join(rhs, cond, how).drop("_salt", "_rsalt", *names.values())
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = 100_000, rows: int | None = None, extra: Column | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, rows: int | None = None, extra: Column | None = None) -> DataFrame:
     """Join with a right side that is broadcast only if it has been counted to at most ``max_rows`` rows, else salted."""
     on = list(on)
     n = right.limit(max_rows + 1).count() if rows is None else rows

@@ -1,157 +1,114 @@
 """Exact frequency of every distinct term, by heavy-light aggregation.
 
-1. Detection: each task keeps counters of the terms it sees (Misra-Gries, so
-   bounded) and names those above a share of its rows. The sum of the named
-   gives at most ``max_heavy`` heavy terms, a bound that makes them fit to be
-   broadcast.
-2. Counting: a task adds heavy terms into local counter arrays and sends one
-   number for each heavy term and record it saw; only the rest is shuffled by
-   term, combined before. Both tables of counts are exact and are united.
-
-Detection decides only which way a term goes, never its count.
-
-Defined cases: a term is a tuple of strings, of which any but the value may be
-null; a null value is no term; a null record counts as an occurrence but not
-as a record; an empty input gives no terms.
+1. Detection: a sketch of frequent items over all rows, of a fixed size and
+   merged from all tasks, names at most ``max_heavy`` terms with more than
+   ``share`` of the rows; so few that they are fit to be broadcast.
+2. Counting: rows of a light term are shuffled by their term, so that one task
+   sees them all and counts them for good. Rows of a heavy term are spread by
+   the whole row; each task counts them into its own counters, one for each
+   heavy term and record, and only these are added up. Both tables of counts
+   are exact and are united.
+
+Repeated rows count once: since equal rows meet in one task either way, they
+are dropped there, by the same shuffle. Detection decides only which way a
+term goes, never its count.
+
+A term is a value under a qualified key, and a record a ``corpus_ref``.
+
+Defined cases: a null, blank or ``NULL`` value is no term, nor is one under an
+unknown key; a null record counts as an occurrence but not as a record; a null
+node is a node of its own; an empty input gives no terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import lookup_join
-from ..functions.values import clean
+from ..functions.values import BLANKS, clean
+from ..session import cut
+from .wide import Attributes, attributes
 
-#: A local counter table is cut back at this size.
-SKETCH = 4096
-#: A term with this share of a task's rows is named as heavy by that task.
+#: A term with this share of all rows is heavy.
 HEAVY_SHARE = 1 / 1000
 MAX_HEAVY = 1000
-#: Pairs of heavy term and record that a task holds before it sends them.
-FLUSH = 500_000
+#: Items that a task's sketch tracks; counts are off by less than 4 of so many parts of the rows.
+TRACKED = 16_384
 
-_TERM = "anno_ns string, anno_name string, val string"
+_ROW = "heavy int, attr int, val string, record bigint, node_id bigint, anno_key int, raw string"
 
 
-def annotation_terms(annos: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(anno_ns, anno_name, val, record) of each distinct row of annotations with a value under a known key."""
-    rows = annos.select("node_id", "anno_key", "val", "corpus_ref").dropDuplicates()
-    keys = symbols.select("anno_key", "anno_ns", "anno_name").dropDuplicates(["anno_key"])
-    named = lookup_join(rows, keys, ["anno_key"]).select("anno_ns", "anno_name", "val", F.col("corpus_ref").cast("bigint").alias("record"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            val = clean(b.column(2))
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), val, b.column(3)], names=["anno_ns", "anno_name", "val", "record"])
-            yield out.filter(pc.is_valid(val))
-
-    return named.mapInArrow(run, f"{_TERM}, record bigint")
-
-
-def _packed(b: pa.RecordBatch) -> pa.Array:
-    """One string a term; null and empty parts differ."""
-    parts = [pc.if_else(pc.is_valid(c), pc.binary_join_element_wise("1", pc.fill_null(c, ""), ""), "0") for c in b.columns[:3]]
-    return pc.binary_join_element_wise(*parts, "\x1f")
+def heavy_terms(annos: DataFrame, symbols: DataFrame | Attributes, max_heavy: int = MAX_HEAVY, share: float = HEAVY_SHARE) -> list[tuple[int, str]]:
+    """At most ``max_heavy`` terms (attribute, value) with over ``share`` of the rows, values trimmed but otherwise as written."""
+    item = F.concat(F.col("anno_key").cast("string"), F.lit("|"), F.btrim(F.col("val"), F.lit(BLANKS)))
+    seen = annos.select(item.alias("item")).filter("item is not null").selectExpr(f"approx_top_k(item, {max_heavy}, {max(TRACKED, 2 * max_heavy)}) AS top", "count(*) AS n").first()
+    named = [x.item.split("|", 1) for x in seen.top or [] if x["count"] >= max(2, seen.n * share)]
+    known = {r.anno_key: r.attr for r in attributes(symbols).df.filter(F.col("anno_key").isin([int(k) for k, _ in named])).select("anno_key", "attr").collect()} if named else {}
+    cleaned = clean(pa.array([v for _, v in named], pa.string())).to_pylist()
+    return sorted({(known[int(k)], v) for (k, _), v in zip(named, cleaned) if v is not None and int(k) in known})
 
 
-def heavy_terms(terms: DataFrame, max_heavy: int = MAX_HEAVY, share: float = HEAVY_SHARE) -> list[tuple]:
-    """At most ``max_heavy`` terms, those with the most named rows."""
+def _rows(annos: DataFrame, symbols: DataFrame | Attributes, heavy: list[tuple[int, str]]) -> DataFrame:
+    """Rows with a value under a known key; ``heavy`` is the place of a heavy term, which then isn't repeated, ``raw`` the value as written where cleaning changed it."""
+    keys = attributes(symbols)
+    keyed = lookup_join(annos.select("node_id", "anno_key", "val", "corpus_ref"), keys.df.select("anno_key", "attr"), ["anno_key"], rows=keys.rows)
+    sent = annos.sparkSession.sparkContext.broadcast([f"{a}|{v}" for a, v in heavy])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
-        n = 0
+        names = pa.array(sent.value, pa.string())
+        none = pa.scalar(None, pa.string())
         for b in batches:
-            n += b.num_rows
-            t = pa.Table.from_batches([b]).group_by(["anno_ns", "anno_name", "val"]).aggregate([([], "count_all")])
-            for *k, c in zip(*(t.column(x).to_pylist() for x in ("anno_ns", "anno_name", "val", "count_all"))):
-                seen[tuple(k)] = seen.get(tuple(k), 0) + c
-            if len(seen) > SKETCH:
-                least = sorted(seen.values())[-SKETCH // 2]
-                seen = {k: c - least for k, c in seen.items() if c > least}
-        named = [(k, c) for k, c in seen.items() if c >= max(2, n * share)]
-        if named:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*(k for k, _ in named))] + [pa.array([c for _, c in named], pa.int64())], names=["anno_ns", "anno_name", "val", "n"])
-
-    named = terms.select("anno_ns", "anno_name", "val").mapInArrow(run, f"{_TERM}, n bigint")
-    # less than that share of all rows isn't heavy, so at most 1 / share terms come to the driver
-    least = max(2, int(terms.count() * share))
-    best = named.groupBy("anno_ns", "anno_name", "val").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "anno_ns", "anno_name", "val").limit(max_heavy).collect()
-    return [(r.anno_ns, r.anno_name, r.val) for r in best]
-
-
-def term_counts(terms: DataFrame, heavy: list[tuple]) -> DataFrame:
-    """(anno_ns, anno_name, val, n_rows, n_records) of every term."""
-    spark = terms.sparkSession
-    names = pa.RecordBatch.from_arrays([pa.array([h[i] for h in heavy], pa.string()) for i in range(3)], names=["anno_ns", "anno_name", "val"])
-    sent = spark.sparkContext.broadcast(_packed(names).to_pylist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(sent.value, pa.string())
-        held: dict[tuple[int, int | None], int] = {}
-
-        def flush() -> pa.RecordBatch:
-            n = len(held)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in held], pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array([r for _, r in held], pa.int64()), pa.array(list(held.values()), pa.int64())],
-                names=["heavy", "anno_ns", "anno_name", "val", "record", "n"],
-            )
-            held.clear()
-            return out
-
-        for b in batches:
-            at = pc.index_in(_packed(b), value_set=words)
-            is_heavy = pc.is_valid(at)
-            h = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
-            mine = h >= 0
-            if mine.any():
-                record = b.column(3).filter(is_heavy).dictionary_encode()
-                ids = pc.fill_null(record.indices, len(record.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-                known = [*record.dictionary.to_pylist(), None]
-                counters = np.bincount(h[mine].astype(np.int64) * len(known) + ids, minlength=0)
-                for cell in np.flatnonzero(counters):
-                    k = (int(cell // len(known)), known[cell % len(known)])
-                    held[k] = held.get(k, 0) + int(counters[cell])
-                if len(held) > FLUSH:
-                    yield flush()
-            if not mine.all():
-                light = b.filter(pc.invert(is_heavy))
-                n = light.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *light.columns, pa.array(np.ones(n, np.int64))], names=["heavy", "anno_ns", "anno_name", "val", "record", "n"])
-        if held:
-            yield flush()
-
-    parts = terms.mapInArrow(run, f"heavy int, {_TERM}, record bigint, n bigint")
-    counts = (
-        parts.groupBy("heavy", "anno_ns", "anno_name", "val", "record").agg(F.sum("n").alias("n"))
-        .groupBy("heavy", "anno_ns", "anno_name", "val").agg(F.sum("n").alias("n_rows"), F.count("record").alias("n_records"))
-    )
+            node, key, raw, record, attr = b.columns
+            val = clean(raw)
+            changed = pc.if_else(pc.fill_null(pc.equal(raw, val), False), none, raw)
+            at = pc.index_in(pc.binary_join_element_wise(pc.cast(attr, pa.string()), val, "|"), value_set=names)
+            light = pc.is_null(at)
+            t = pa.Table.from_arrays([at, pc.if_else(light, attr, pa.scalar(None, attr.type)), pc.if_else(light, val, none), record, node, key, changed], names=["heavy", "attr", "val", "record", "node_id", "anno_key", "raw"])
+            if not len(names):
+                yield from t.filter(pc.is_valid(val)).to_batches()
+                continue
+            yield from t.filter(pc.and_(light, pc.is_valid(val))).to_batches()
+            # a row can only be repeated often if its term is heavy
+            yield from t.filter(pc.invert(light)).group_by(t.column_names, use_threads=False).aggregate([]).to_batches()
+
+    return keyed.select("node_id", F.col("anno_key").cast("int"), "val", F.col("corpus_ref").cast("bigint").alias("record"), "attr").mapInArrow(run, _ROW)
+
+
+def term_counts(annos: DataFrame, symbols: DataFrame | Attributes, heavy: list[tuple[int, str]]) -> DataFrame:
+    """(attr, val, n_rows, n_records) of every term."""
+    spark = annos.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = [c.split()[0] for c in _ROW.split(", ")]
+    is_light = F.col("heavy").isNull()
+    shard = F.when(is_light, F.xxhash64("attr", "val")).otherwise(F.pmod(F.xxhash64("heavy", "record", "node_id", "anno_key", "raw"), F.lit(tasks)))
+    placed = _rows(annos, symbols, heavy).withColumn("shard", shard).repartition("shard")
+    # all of this is local to the task of the shard
+    once = placed.select("shard", *own).distinct()
+    by_record = once.groupBy("shard", "heavy", "attr", "val", "record").agg(F.count(F.lit(1)).alias("n"))
+    counter = F.when(~is_light, F.col("record")).alias("of_record")
+    local = cut(by_record.groupBy("shard", "heavy", "attr", "val", counter).agg(F.sum("n").alias("n_rows"), F.count("record").alias("n_records")))
+    light = local.filter(is_light).select("attr", "val", "n_rows", "n_records")
     if not heavy:
-        return counts.drop("heavy")
-    table = F.broadcast(spark.createDataFrame([(i, *h) for i, h in enumerate(heavy)], "h int, h_ns string, h_name string, h_val string"))
-    both = counts.join(table, F.col("heavy") == F.col("h"), "left")
-    take = lambda a, b: F.when(F.col("heavy").isNull(), F.col(a)).otherwise(F.col(b)).alias(a)
-    return both.select(take("anno_ns", "h_ns"), take("anno_name", "h_name"), take("val", "h_val"), "n_rows", "n_records")
+        return light
+    added = local.filter(~is_light).groupBy("heavy", "of_record").agg(F.sum("n_rows").alias("n_rows")).groupBy("heavy").agg(F.sum("n_rows").alias("n_rows"), F.count("of_record").alias("n_records"))
+    names = F.broadcast(spark.createDataFrame([(i, *h) for i, h in enumerate(heavy)], "heavy int, attr int, val string"))
+    return light.unionByName(added.join(names, "heavy").select("attr", "val", "n_rows", "n_records"))
 
 
-def banded(counts: DataFrame, rare_below: int = 3, common_above: float = 1 / 20) -> DataFrame:
-    """Adds ``band``: rare (in fewer than ``rare_below`` records), else common (more than that share of its key's rows), else null."""
-    sizes = counts.groupBy("anno_ns", "anno_name").agg(F.sum("n_rows").alias("key_rows")).withColumnsRenamed({"anno_ns": "k_ns", "anno_name": "k_name"})
-    same = F.col("anno_ns").eqNullSafe(F.col("k_ns")) & F.col("anno_name").eqNullSafe(F.col("k_name"))
-    share = round(1 / common_above)
-    band = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_rows") * share > F.col("key_rows"), "common")
-    sizes_fit = sizes.limit(100_001).count() <= 100_000
-    return counts.join(F.broadcast(sizes) if sizes_fit else sizes, same, "left").withColumn("band", band).drop("k_ns", "k_name")
+def banded(counts: DataFrame, symbols: DataFrame | Attributes, rare_below: int = 3, common_above: float = 1 / 20) -> DataFrame:
+    """(anno_ns, anno_name, val, n_rows, n_records, key_rows, band); ``band``: rare (in fewer than ``rare_below`` records), else common (more than that share of its key's rows), else null."""
+    keys = attributes(symbols)
+    sizes = lookup_join(counts.groupBy("attr").agg(F.sum("n_rows").alias("key_rows")), keys.names(), ["attr"], rows=keys.rows)
+    band = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_rows") * round(1 / common_above) > F.col("key_rows"), "common")
+    return lookup_join(counts, sizes, ["attr"], rows=keys.rows).select("anno_ns", "anno_name", "val", "n_rows", "n_records", "key_rows", band.alias("band"))
 
 
-def all_terms(annos: DataFrame, symbols: DataFrame) -> DataFrame:
+def all_terms(annos: DataFrame, symbols: DataFrame | Attributes) -> DataFrame:
     """Every value of every qualified key with its occurrences, its records and its band."""
-    from ..session import cut
-
-    terms = cut(annotation_terms(annos, symbols))
-    return banded(cut(term_counts(terms, heavy_terms(terms))))
+    keys = attributes(symbols)
+    return banded(term_counts(annos, keys, heavy_terms(annos, keys)), keys)

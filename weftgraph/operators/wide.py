@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.files import Files
-from ..functions.skew import lookup_join
+from ..functions.skew import BROADCAST_ROWS, lookup_join
 from ..functions.values import clean, typed
 
 #: Attributes that get a column of their own.
@@ -57,10 +58,32 @@ SCHEMA = "node_id bigint, cells array<struct<attr: int, version: bigint, lo: str
 _CELL = pa.struct([("attr", pa.int32()), ("version", pa.int64()), ("lo", pa.string()), ("hi", pa.string())])
 
 
-def attributes(symbols: DataFrame) -> DataFrame:
-    """(anno_key, attr, anno_ns, anno_name, val_type): every symbol and the least one of its qualified name."""
-    one = symbols.groupBy("anno_key").agg(F.min(F.struct("anno_ns", "anno_name", "val_type")).alias("k")).select("anno_key", "k.*").na.drop(subset=["anno_key"])
-    return one.withColumn("attr", F.min("anno_key").over(Window.partitionBy("anno_ns", "anno_name")).cast("int"))
+@dataclass
+class Attributes:
+    """(anno_key, attr, anno_ns, anno_name, val_type) of every symbol, ``attr`` the least one of its qualified name."""
+
+    df: DataFrame
+    #: So many rows at least; exact up to BROADCAST_ROWS
+    rows: int
+
+    def names(self) -> DataFrame:
+        """(attr, anno_ns, anno_name)"""
+        return self.df.filter("anno_key = attr").select("attr", "anno_ns", "anno_name")
+
+
+def attributes(symbols: DataFrame | Attributes) -> Attributes:
+    """A table of at most BROADCAST_ROWS symbols is read once; a longer one stays where it is."""
+    if isinstance(symbols, Attributes):
+        return symbols
+    one = symbols.groupBy("anno_key").agg(F.min(F.struct("anno_ns", "anno_name", "val_type")).alias("k")).select(F.col("anno_key").cast("int"), "k.*").na.drop(subset=["anno_key"])
+    few = one.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) > BROADCAST_ROWS:
+        return Attributes(one.withColumn("attr", F.min("anno_key").over(Window.partitionBy("anno_ns", "anno_name"))), len(few))
+    least: dict[tuple, int] = {}
+    for r in sorted(few, key=lambda r: r.anno_key):
+        least.setdefault((r.anno_ns, r.anno_name), r.anno_key)
+    rows = [(*r, least[r.anno_ns, r.anno_name]) for r in few]
+    return Attributes(symbols.sparkSession.createDataFrame(rows, "anno_key int, anno_ns string, anno_name string, val_type string, attr int"), len(few))
 
 
 def _wide(node: pa.Array, cells: pa.StructArray, first: np.ndarray) -> pa.RecordBatch:
@@ -111,11 +134,12 @@ def _merged(entity: np.ndarray, attr: pa.Array, version: pa.Array, lo: pa.Array,
     return entity[first], pa.StructArray.from_arrays([pa.array(a[first], pa.int32()), pa.array(stands, pa.int64()), lo, hi], fields=list(_CELL))
 
 
-def deltas(annos: DataFrame, symbols: DataFrame, version: int | Column = 0) -> DataFrame:
+def deltas(annos: DataFrame, symbols: DataFrame | Attributes, version: int | Column = 0) -> DataFrame:
     """Sparse wide rows (``SCHEMA``) of a batch of (node_id, anno_key, val), several of an entity where several tasks saw it."""
     at = F.lit(version) if isinstance(version, int) else version
+    keys = attributes(symbols)
     rows = annos.select("node_id", "anno_key", "val", at.cast("bigint").alias("version"))
-    keyed = lookup_join(rows, attributes(symbols).select("anno_key", "attr", "val_type"), ["anno_key"]).select("node_id", "attr", "version", "val_type", "val")
+    keyed = lookup_join(rows, keys.df.select("anno_key", "attr", "val_type"), ["anno_key"], rows=keys.rows).select("node_id", "attr", "version", "val_type", "val")
 
     def sent(held: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(held).combine_chunks()
@@ -187,11 +211,11 @@ def _conflict(cell: Column) -> Column:
     return cell["lo"].isNull() | cell["hi"].isNotNull()
 
 
-def conflicts(run: DataFrame, symbols: DataFrame) -> DataFrame:
+def conflicts(run: DataFrame, symbols: DataFrame | Attributes) -> DataFrame:
     """(node_id, anno_ns, anno_name) of the cells to which no single typed value can be given."""
     bad = run.select("node_id", F.explode(F.transform(F.filter("cells", _conflict), lambda c: c["attr"])).alias("attr"))
-    names = attributes(symbols).filter("anno_key = attr").select("attr", "anno_ns", "anno_name")
-    return lookup_join(bad, names, ["attr"]).select("node_id", "anno_ns", "anno_name")
+    keys = attributes(symbols)
+    return lookup_join(bad, keys.names(), ["attr"], rows=keys.rows).select("node_id", "anno_ns", "anno_name")
 
 
 def column_name(ns: str | None, name: str | None) -> str:
@@ -204,9 +228,9 @@ def _values(run: DataFrame) -> DataFrame:
     return run.select("node_id", F.map_from_entries(F.transform(good, lambda c: F.struct(c["attr"], c["lo"]))).alias("value"))
 
 
-def widen(run: DataFrame, symbols: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def widen(run: DataFrame, symbols: DataFrame | Attributes, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """One row an entity with a typed column for each qualified key of ``symbols``, the first ``max_columns`` by name, and ``further`` if there are more."""
-    names = attributes(symbols).groupBy("anno_ns", "anno_name", "attr").agg(F.min("val_type").alias("val_type"), F.countDistinct("val_type").alias("n"))
+    names = attributes(symbols).df.groupBy("anno_ns", "anno_name", "attr").agg(F.min("val_type").alias("val_type"), F.countDistinct("val_type").alias("n"))
     keys = names.orderBy("anno_ns", "anno_name").limit(max_columns + 1).collect()
     more, keys = keys[max_columns:], keys[:max_columns]
 
@@ -231,9 +255,9 @@ def _fits(value: Column) -> Column:
     return value.rlike(r"\A-?[0-9]{1,28}(\.[0-9]{1,10})?\z")
 
 
-def unfit(run: DataFrame, symbols: DataFrame) -> DataFrame:
+def unfit(run: DataFrame, symbols: DataFrame | Attributes) -> DataFrame:
     """(node_id, anno_ns, anno_name, value) of the valid decimals that ``widen`` can't type without loss."""
-    decimal = attributes(symbols).groupBy("anno_ns", "anno_name", "attr").agg(F.min("val_type").alias("lo"), F.max("val_type").alias("hi")).filter("lo = 'decimal' and hi = 'decimal'").select("attr", "anno_ns", "anno_name")
+    decimal = attributes(symbols).df.groupBy("anno_ns", "anno_name", "attr").agg(F.min("val_type").alias("lo"), F.max("val_type").alias("hi")).filter("lo = 'decimal' and hi = 'decimal'").select("attr", "anno_ns", "anno_name")
     cells = _values(run).select("node_id", F.explode("value").alias("attr", "value")).filter(~_fits(F.col("value")))
     return lookup_join(cells, decimal, ["attr"]).select("node_id", "anno_ns", "anno_name", "value")
 
@@ -253,7 +277,7 @@ class Runs:
     def _read(self, names: list[str]) -> list[DataFrame]:
         return [self.spark.read.schema(SCHEMA).parquet(self.files.at(n)) for n in names] or [self.spark.createDataFrame([], SCHEMA)]
 
-    def upsert(self, annos: DataFrame, symbols: DataFrame, version: int | Column = 0) -> None:
+    def upsert(self, annos: DataFrame, symbols: DataFrame | Attributes, version: int | Column = 0) -> None:
         """Adds a batch as a run of its own. A batch that is added again changes nothing."""
         sorted_run(deltas(annos, symbols, version)).write.parquet(self.files.at(f"run-{uuid.uuid4().hex}"))
         if len(self.names()) >= FAN_IN:

@@ -185,13 +185,14 @@ g AS (SELECT node_id, anno_ns, anno_name, min(x) AS lo, max(x) AS hi FROM c GROU
 )
 
 
-def _run(spark: SparkSession, d: str) -> DataFrame:
-    return wide.sorted_run(wide.deltas(table(spark, d, "node_annos"), table(spark, d, "anno_keys")))
+def _run(spark: SparkSession, d: str) -> tuple[DataFrame, wide.Attributes]:
+    keys = wide.attributes(table(spark, d, "anno_keys"))
+    return wide.sorted_run(wide.deltas(table(spark, d, "node_annos"), keys)), keys
 
 
 @query(_CELLS + "SELECT node_id, anno_ns, anno_name FROM g WHERE lo IS NULL OR lo <> hi")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return wide.conflicts(_run(spark, d), table(spark, d, "anno_keys"))
+    return wide.conflicts(*_run(spark, d))
 
 
 def _wide_sql() -> str:
@@ -203,7 +204,7 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    out = wide.widen(_run(spark, d), table(spark, d, "anno_keys"))
+    out = wide.widen(*_run(spark, d))
     return out.withColumns({c: F.col(f"`{c}`").cast("string") for c, t in out.dtypes if t.startswith("decimal")})
 
 
