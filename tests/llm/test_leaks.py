@@ -37,6 +37,37 @@ def test_search_against_brute_force():
         assert got == want
 
 
+def test_equal_and_periodic_words_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(12):
+        period = [rng.choice("ab") for _ in range(rng.randrange(1, 4))]
+        items = [(0, " ".join((period * 40)[: rng.randrange(5, 30)])), (1, " ".join(["a"] * 9)), (2, "a b " * 6)]
+        docs = [(period * 60)[: rng.randrange(80)] for _ in range(3)] + [["a"] * rng.randrange(30) + ["zz"] + ["a"] * 7]
+        p = m.Passages(items, 4)
+        parts = [[*(p.vocab.get(w, 0) for w in d), 0] for d in docs]
+        flat = np.array([w for x in parts for w in x], np.int64)
+        begin = np.cumsum([0, *map(len, parts)])
+        got = {(int(d), items[i][0]): (int(n), int(at - begin[d])) for d, i, n, at in zip(*m.search(flat, np.repeat(np.arange(len(parts)), [len(x) for x in parts]), p))}
+        for d, x in enumerate(docs):
+            for k, t in items:
+                n = brute(x, t.split(), 4)
+                assert got.get((d, k), (0,))[0] == n
+                if n:  # the first place where so many words stand
+                    assert got[d, k][1] == min(i for i in range(len(x)) if any(x[i : i + n] == t.split()[j : j + n] and len(t.split()) >= j + n for j in range(len(t.split()))))
+
+
+def test_many_equal_words_need_little_memory(monkeypatch):
+    import tracemalloc
+
+    p = m.Passages([(1, "0 " * 400), (2, "0 1 " * 200), (3, "0 " * 399 + "2")])
+    ids = np.array([*[1] * 4_000_000, 0], np.int64)
+    tracemalloc.start()
+    got = [x.tolist() for x in m.search(ids, np.zeros(len(ids), np.int64), p)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[0, 0], [0, 2], [400, 399], [0, 0]] and peak < 1 << 30
+
+
 def test_corpus(spark):
     words = [f"w{i}" for i in range(40)]
     passage = " ".join(words[:20])

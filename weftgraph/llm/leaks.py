@@ -1,12 +1,17 @@
 """Test passages that stand, whole or in part, in training texts.
 
-Each task makes a suffix array of its shard of the texts, sorted by the first
-``n`` words of every suffix; suffixes that hold a word of no passage among
-these can't match and are left out, which changes no result. Every suffix of
-the test passages is searched in it by bisection. Hits on one diagonal are
-joined to the longest verbatim match, given with its place. The texts stay
-where they are: only passages are sent to the tasks, in blocks of a bounded
-number of words, and only hits come back.
+Each task makes a suffix array of its shard of the texts, ordered by the first
+``n`` words of every suffix (by prefix doubling) and, among equal ones, by the
+word before; suffixes that hold a word of no passage among their first ``n``
+can't match and are left out, which changes no result. Every suffix of the
+test passages is searched in it by bisection. A suffix of the text that has
+the same word before it as the passage's suffix only continues a longer match,
+so that of each interval just the part with another word before it is a hit,
+and runs of equal words don't multiply. Hits are extended to the longest
+verbatim match, word by word, and given with their place. The texts stay where
+they are and are read and cut into words once: only passages are sent to the
+tasks, in blocks of a bounded number of words of which a task holds one at a
+time, and only hits come back.
 
 Words are runs of letters and digits as a reader sees the page: tags separate
 words, of ``[[target|shown]]`` only shown counts, entities stand for their
@@ -36,8 +41,10 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12
 #: Words of passages that are sent to the tasks at once.
 BLOCK_WORDS = 500_000
-#: Characters of a shard.
+#: Characters of a shard (a longer text is one of its own).
 SHARD_CHARS = 8_000_000
+#: Hits that are extended at once, by so many words at a time.
+HITS, AHEAD = 200_000, 16
 
 _TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _LINK = re.compile(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]")
@@ -64,12 +71,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _keys(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """The first n word ids of each suffix as one comparable key."""
-    rows = ids[starts[:, None] + np.arange(n)].astype(">u4")
-    return np.ascontiguousarray(rows).view(f"S{4 * n}").ravel()
-
-
 class Passages:
     """The words of test passages as ids, and all their suffixes of at least n words."""
 
@@ -84,8 +85,6 @@ class Passages:
         self.flat, self.item_of = np.array(flat, np.int64), np.array(item_of, np.int64)
         self.lengths = np.bincount(self.item_of, self.flat > 0, len(items)).astype(np.int64) if items else np.zeros(0, np.int64)
         self.starts = suffixes(self.flat, n)
-        order = np.argsort(keys := _keys(self.flat, self.starts, n), kind="stable")
-        self.starts, self.keys = self.starts[order], keys[order]
 
 
 def suffixes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -97,53 +96,112 @@ def suffixes(ids: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(stop - at >= n)
 
 
+def _windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """Of each place the rank of the n ids from there on, by prefix doubling; without meaning where 0 is among them."""
+
+    def pair(rank: np.ndarray, ahead: int) -> np.ndarray:
+        then = np.zeros_like(rank)
+        then[: len(rank) - ahead] = rank[ahead:]
+        return np.unique(rank * (rank.max() + 1) + then, return_inverse=True)[1]
+
+    rank, size = ids, 1
+    while 2 * size <= n:
+        rank, size = pair(rank, size), 2 * size
+    return pair(rank, n - size) if size < n else rank
+
+
+def _extended(ids: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """How many ids from a and b on are equal and not 0, at least ``size``; the array must end with AHEAD zeros."""
+    out = np.full(len(a), size)
+    live = np.arange(len(a))
+    while len(live):
+        at = out[live, None] + np.arange(AHEAD)
+        x, y = ids[np.minimum(a[live, None] + at, len(ids) - 1)], ids[np.minimum(b[live, None] + at, len(ids) - 1)]
+        differ = (x != y) | (x == 0)
+        ends = differ.any(1)
+        out[live] += np.where(ends, differ.argmax(1), AHEAD)
+        live = live[~ends]
+    return out
+
+
 def search(ids: np.ndarray, doc_of: np.ndarray, passages: Passages) -> tuple[np.ndarray, ...]:
-    """(document, item, words, position in ids) of the longest match of each document and item."""
-    n, starts = passages.n, suffixes(ids, passages.n)
-    none = np.zeros(0, np.int64)
-    if not len(starts) or not len(passages.starts):
+    """(document, item, words, position in ids) of the longest match of each document and item, the first of several; ``ids`` must end with 0."""
+    n, none = passages.n, np.zeros(0, np.int64)
+    if not len(passages.starts) or not len(ids):
         return none, none, none, none
-    keys = _keys(ids, starts, n)
-    order = np.argsort(keys, kind="stable")
-    starts, keys = starts[order], keys[order]
-    lo, hi = np.searchsorted(keys, passages.keys, "left"), np.searchsorted(keys, passages.keys, "right")
-    count = hi - lo
-    which = np.repeat(np.arange(len(count)), count)
-    if not len(which):
+    # runs of n known words, and the 0 that ends each
+    size = np.diff(np.r_[-1, np.flatnonzero(ids == 0)])
+    where = np.flatnonzero(np.repeat(size > n, size))
+    if not len(where):
         return none, none, none, none
-    pos = starts[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]]
-    off = passages.starts[which]
-    diagonal = pos - off
-    order = np.lexsort((pos, diagonal))
-    pos, off, diagonal = pos[order], off[order], diagonal[order]
-    head = np.r_[True, (diagonal[1:] != diagonal[:-1]) | (pos[1:] != pos[:-1] + 1)]
-    first = np.flatnonzero(head)
-    size = np.diff(np.r_[first, len(pos)]) + n - 1
-    doc, item, pos = doc_of[pos[first]], passages.item_of[off[first]], pos[first]
-    order = np.lexsort((pos, -size, item, doc))
-    doc, item, size, pos = doc[order], item[order], size[order], pos[order]
-    best = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
-    return doc[best], item[best], size[best], pos[best]
+    joint = np.concatenate([ids[where], passages.flat, np.zeros(AHEAD, np.int64)])
+    rank = _windows(joint, n)
+    before = np.r_[0, joint[:-1]]
+    wide = int(joint.max()) + 1
+    place = rank * wide + before
+    text = suffixes(ids[where], n)
+    text = text[np.argsort(place[text], kind="stable")]
+    found, tests = place[text], passages.starts + len(where)
+    low, high = np.searchsorted(found, rank[tests] * wide), np.searchsorted(found, (rank[tests] + 1) * wide)
+    skip = before[tests] > 0
+    same = np.where(skip, np.searchsorted(found, place[tests]), low)
+    past = np.where(skip, np.searchsorted(found, place[tests], "right"), low)
+    first, count = np.r_[low, past], np.r_[same - low, high - past]
+    which = np.repeat(np.arange(len(count)), count)
+    hit = text[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]]
+    test = tests[which % len(tests)]
+    order = np.argsort(hit, kind="stable")
+    hit, test = hit[order], test[order]
+    doc, item = doc_of[where[hit]], passages.item_of[test - len(where)]
+    pair = doc * len(passages.ids) + item
+    best: list[tuple[np.ndarray, ...]] = []
+    whole = none
+    for k in range(0, len(hit), HITS):
+        mine = np.arange(k, min(k + HITS, len(hit)))
+        if len(whole):  # nothing later can be better
+            mine = mine[~np.isin(pair[mine], whole)]
+        size = _extended(joint, hit[mine], test[mine], n)
+        order = np.lexsort((hit[mine], -size, pair[mine]))
+        mine, size = mine[order], size[order]
+        top = np.r_[True, pair[mine][1:] != pair[mine][:-1]][: len(mine)]
+        mine, size = mine[top], size[top]
+        best.append((mine, size))
+        whole = np.union1d(whole, pair[mine[size == passages.lengths[item[mine]]]])
+    mine, size = (np.concatenate([b[i] for b in best] or [none]) for i in (0, 1))
+    order = np.lexsort((hit[mine], -size, item[mine], doc[mine]))
+    mine, size = mine[order], size[order]
+    top = np.r_[True, pair[mine][1:] != pair[mine][:-1]][: len(mine)]
+    mine, size = mine[top], size[top]
+    return doc[mine], item[mine], size, where[hit[mine]]
 
 
 _SCHEMA = "doc_id bigint, item_id bigint, n_words int, at_word int, whole boolean"
 
 
-def _searcher(sent, n: int):
+def _searcher(sent: list, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(sent.value, n)
-        known, items = passages.vocab.get, np.array(passages.ids, object)
-
-        def shard(doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
-            parts = [[*(known(w, 0) for w in words_of(t)), 0] for t in texts]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            ids = np.fromiter((w for p in parts for w in p), np.int64, sizes.sum())
+        only = Passages(sent[0].value, n) if len(sent) == 1 else None
+
+        def blocks() -> Iterator[Passages]:
+            for block in [] if only else sent:
+                yield Passages(block.value, n)
+                vars(block).pop("_value", None)  # the next look reads it from its file again
+            if only:
+                yield only
+
+        def shard(doc_ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            words = [words_of(t) for t in texts]
+            sizes = np.array([len(w) + 1 for w in words], np.int64)
             begin = np.cumsum(sizes) - sizes
-            doc, item, size, pos = search(ids, np.repeat(np.arange(len(parts)), sizes), passages)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([doc_ids[d] for d in doc], pa.int64()), pa.array(list(items[item]), pa.int64()), pa.array(size, pa.int32()), pa.array(pos - begin[doc], pa.int32()), pa.array(size == passages.lengths[item])],
-                names=["doc_id", "item_id", "n_words", "at_word", "whole"],
-            )
+            owner = np.repeat(np.arange(len(words)), sizes)
+            for passages in blocks():
+                known, items = passages.vocab.get, np.array(passages.ids, object)
+                ids = np.fromiter((known(w, 0) for part in words for w in (*part, None)), np.int64, sizes.sum())
+                doc, item, size, pos = search(ids, owner, passages)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_ids[d] for d in doc], pa.int64()), pa.array(list(items[item]), pa.int64()), pa.array(size, pa.int32()), pa.array(pos - begin[doc], pa.int32()), pa.array(size == passages.lengths[item])],
+                    names=["doc_id", "item_id", "n_words", "at_word", "whole"],
+                )
 
         ids, texts, held = [], [], 0
         for b in batches:
@@ -153,10 +211,10 @@ def _searcher(sent, n: int):
                     texts.append(t)
                     held += len(t)
                     if held > SHARD_CHARS:
-                        yield shard(ids, texts)
+                        yield from shard(ids, texts)
                         ids, texts, held = [], [], 0
         if ids:
-            yield shard(ids, texts)
+            yield from shard(ids, texts)
 
     return run
 
@@ -168,13 +226,9 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, block_words: in
     size = tests.agg(F.sum(F.length("passage")).alias("n")).first().n or 0
     blocks = max(1, -(-size // (block_words * 4)))
     corpus = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    out = None
-    for k in range(blocks):
-        mine = tests.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k).orderBy("item_id", "passage") if blocks > 1 else tests.orderBy("item_id", "passage")
-        sent = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in mine.collect()])
-        found = corpus.mapInArrow(_searcher(sent, n), _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+    mine = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)))
+    sent = [spark.sparkContext.broadcast([(r.item_id, r.passage) for r in mine.filter(F.col("block") == k).orderBy("item_id", "passage").collect()]) for k in range(blocks)]
+    return corpus.mapInArrow(_searcher(sent, n), _SCHEMA)
 
 
 def leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
