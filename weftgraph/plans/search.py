@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..aql.model import EdgeSearch, Search
+from ..aql.regex import to_java
 from .graph import ANNIS, Graph
 
 _META = re.compile(r"[\\.^$*+?()\[\]{}|]")
@@ -40,7 +41,7 @@ def value_condition(col: Column, value: str | None, regex: bool, negated: bool)
         return F.lit(True)
     if not regex or is_literal(value):
         return col != F.lit(value) if negated else col == F.lit(value)
-    hit = col.rlike(f"\\A(?:{value})\\z")
+    hit = col.rlike(to_java(value))
     if negated:
         return ~hit
     head = literal_prefix(value)
