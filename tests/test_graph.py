@@ -380,3 +380,38 @@ def test_zip_of_several_corpora(spark, graph, tmp_path):
     assert store.corpora() == ["root"]
     assert sorted(store.import_from(str(tmp_path / "both.zip"))) == ["one", "two"]
     assert store.corpora() == ["one", "root", "two"] and {store.count(c, "tok").first()[0] for c in ("one", "two")} == {8}
+
+
+def _simple_paths(links):
+    out = set()
+    for start in {x for link in links for x in link}:
+        todo = [(start, (start,))]
+        while todo:
+            at, path = todo.pop()
+            for a, b in links:
+                if a == at and b not in path:
+                    out.add((start, b, len(path)))
+                    todo.append((b, (*path, b)))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["tree and cycles", "reversed", "joint", "joint and cycles"])
+def test_paths_of_every_shape(spark, shape):
+    tree = [(0, 1), (1, 2), (2, 3), (1, 4), (20, 21), (21, 22), (22, 23), (23, 20), (21, 30), (30, 31), (40, 40), (40, 41)]
+    links = {
+        "tree and cycles": tree,
+        "reversed": [(b, a) for a, b in tree],
+        "joint": [(0, 1), (1, 2), (2, 3), (5, 2), (3, 6), (7, 6), (6, 8), (8, 9), (0, 9)],
+        "joint and cycles": [*tree, (3, 21), (23, 50), (4, 50), (50, 51), (51, 1)],
+    }[shape]
+    df = spark.createDataFrame([(c, a, b) for c in "xy" for a, b in links], "corpus string, source long, target long")
+    paths = _simple_paths(set(links))
+    wanted = {"starts": {1, 21, 50, 8}, "ends": {3, 31, 20, 9, 41}}
+    starts, ends = (spark.createDataFrame([(c, n) for c in "xy" for n in wanted[k]], f"corpus string, {k2} long") for k, k2 in (("starts", "source"), ("ends", "target")))
+    for dist in (Range(1, None), Range(2, None), Range(3, 9)):
+        want = {(c, a, b) for a, b, d in paths for c in "xy" if dist.low <= d and (dist.high is None or d <= dist.high)}
+        got = [tuple(r) for r in pairs(df, dist).collect()]
+        assert set(got) == want and len(got) == len(want)
+    want = {(c, a, b) for a, b, _ in paths for c in "xy" if a in wanted["starts"] and b in wanted["ends"]}
+    got = {tuple(r) for r in pairs(df, Range(1, None), starts, ends).collect()}
+    assert {r for r in got if r[1] in wanted["starts"] and r[2] in wanted["ends"]} == want

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import lookup_join, salted_join
@@ -171,6 +172,44 @@ def forest(links: DataFrame, node: str, parent: str, paths: bool = False, block:
     return final.select("node", F.col("top").alias("root"), F.when(F.col("cyclic"), F.lit(-1)).otherwise(F.col("off")).cast("bigint").alias("depth"), "cyclic", *[path] * paths)
 
 
+@dataclass
+class Numbered:
+    """Links between nodes that are named by their id and some further columns, brought to one number a node."""
+
+    #: (node, up)
+    links: DataFrame
+    by: list[str]
+    #: (by, _node, _id), or nothing if all links agree in ``by``: then ids are numbers already
+    ids: DataFrame | None
+    shared: list[Column]
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """``df`` with the columns ``by`` and, for the numbers in ``columns``, the nodes' ids again."""
+        if self.ids is None:
+            return df.select(*self.shared, *df.columns)
+        out = df
+        for i, c in enumerate(columns):
+            of = self.ids.select(F.col("_id").alias(c), F.col("_node"), *(self.by if i == 0 else []))
+            out = out.join(of, c).drop(c).withColumnRenamed("_node", c)
+        return out.select(*self.by, *df.columns)
+
+
+def numbered(links: DataFrame, by: list[str], node: str, parent: str) -> Numbered:
+    real = links.select(*by, F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("up")).na.drop(subset=["node", "up"])
+    least = real.agg(*[f(F.struct(*by)).alias(k) for k, f in (("a", F.min), ("z", F.max))]).first()
+    if least.a == least.z:
+        types = dict(links.dtypes)
+        return Numbered(real.select("node", "up"), by, None, [F.lit(least.a and least.a[c]).cast(types[c]).alias(c) for c in by])
+    ids = cut(real.select(*by, F.col("node").alias("_node")).unionByName(real.select(*by, F.col("up").alias("_node"))).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    for end in ("node", "up"):
+        other = ids.withColumnsRenamed({c: f"_{c}" for c in by})
+        same = F.col(end) == F.col("_node")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        real = real.join(other, same).drop("_node", end, *[f"_{c}" for c in by]).withColumnRenamed("_id", end)
+    return Numbered(real.select("node", "up"), by, ids, [])
+
+
 def hierarchy(nodes: DataFrame, links: DataFrame, node: str, parent: str, paths: bool = False, block: int = BLOCK_LINKS) -> DataFrame:
     """``forest`` for a given set of nodes (column ``node``), roots and lone nodes included."""
     known = forest(links, node, parent, paths, block)

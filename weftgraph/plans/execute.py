@@ -17,6 +17,7 @@ from .graph import ANNIS, Graph
 from .joins import POSITIONAL, add_segment, add_span, relate, restrict
 from .reach import pairs
 from .search import scan
+from ..session import cut
 
 _RANK = {"token": 0, "value": 1, "any_token": 3, "any_node": 4}
 
@@ -144,8 +145,9 @@ def count_extra(graph: Graph, query: Query | str, quirks: bool = False) -> DataF
     """Matches, and documents that hold the first node of some match."""
     rows = execute(graph, query, quirks).select("corpus", "m1")
     docs = graph.anno.filter((F.col("ns") == ANNIS) & (F.col("name") == "doc")).select("corpus", F.col("node_id").alias("target")).distinct()
-    above = pairs(graph.component("PartOf"), ANY_DISTANCE, depth=graph.depth.get("PartOf")).join(docs, ["corpus", "target"], "left_semi").select(F.col("corpus").alias("_c"), F.col("source").alias("_s"), F.col("target").alias("doc"))
-    perm = rows.groupBy("corpus", "m1").agg(F.count(F.lit(1)).alias("n"))
+    perm = cut(rows.groupBy("corpus", "m1").agg(F.count(F.lit(1)).alias("n")))
+    above = pairs(graph.component("PartOf"), ANY_DISTANCE, perm.select("corpus", F.col("m1").alias("source")), docs, graph.depth.get("PartOf"), graph.layered, "target")
+    above = above.join(docs, ["corpus", "target"], "left_semi").select(F.col("corpus").alias("_c"), F.col("source").alias("_s"), F.col("target").alias("doc"))
     held = perm.join(above, (F.col("corpus") == F.col("_c")) & (F.col("m1") == F.col("_s"))).select("corpus", "doc").distinct().agg(F.count(F.lit(1)).alias("n_documents"))
     return perm.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches")).crossJoin(F.broadcast(held))
 
@@ -198,9 +200,22 @@ def find(graph: Graph, query: Query | str, offset: int = 0, limit: int | None =
         rows = rows.orderBy(*[k.asc() if order == "normal" else k.desc() for k in keys])
     elif order == "random":
         rows = rows.orderBy(F.rand())
-    if offset:
-        rows = rows.offset(offset)
-    return (rows if limit is None else rows.limit(limit)).select("corpus", "match")
+    if limit is not None:
+        return rows.offset(offset).limit(limit).select("corpus", "match")
+    return _beyond(rows, offset).select("corpus", "match") if offset else rows.select("corpus", "match")
+
+
+def _beyond(rows: DataFrame, offset: int) -> DataFrame:
+    """All but the first rows, which no single task reads: whole partitions are left out or kept, and one is cut."""
+    rows = cut(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    left, skip = offset, {}
+    for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").toLocalIterator():
+        skip[r._p] = min(left, r.n)
+        left -= skip[r._p]
+        if not left:
+            break
+    last = max(skip, default=-1)
+    return rows.filter((F.col("_p") > last) | (F.col("_p") == last) & (F.col("_i") >= skip.get(last, 0)))
 
 
 def frequency(graph: Graph, query: Query | str, definitions: list[tuple[int, str | None, str]], quirks: bool = False) -> DataFrame:

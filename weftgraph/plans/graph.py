@@ -41,6 +41,8 @@ class Graph:
     depth: dict[str, int] = field(default_factory=dict)
     #: Whether an edge may come in several layers of one component name, so that pairs must be made distinct
     layered: bool = True
+    #: Whether each node with a text is known to be a token, so that none covers others
+    texts_are_tokens: bool = False
 
     @cached_property
     def tok_pos(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..aql.model import ANY_DISTANCE
-from ..operators.hierarchy import forest
+from ..operators.hierarchy import forest, numbered
 from ..session import cut
 from .graph import ANNIS, Graph
 from .reach import pairs
@@ -18,22 +18,15 @@ def chains(graph: Graph) -> DataFrame:
     A chain is a path of links, so its positions are depths of the hierarchy
     operator. Tokens without an ordering edge are chains of their own.
     """
-    out = None
-    comps = [(r.corpus, r.layer, r.cname) for r in graph.component("Ordering").select("corpus", "layer", "cname").distinct().collect()]
-    for corpus, layer, cname in comps:
-        if layer == ANNIS and cname:
-            continue
-        links = graph.component("Ordering", cname, layer).filter(F.col("corpus") == corpus)
-        placed = forest(links, "target", "source").filter("not cyclic")
-        first = links.select(F.col("source").alias("node")).distinct().join(placed.select("node"), "node", "left_anti").join(links.select(F.col("target").alias("node")), "node", "left_anti")
-        rows = placed.select(F.col("root").alias("chain_id"), F.col("depth").alias("pos"), F.col("node").alias("node_id")).unionByName(first.select(F.col("node").alias("chain_id"), F.lit(0).cast("bigint").alias("pos"), F.col("node").alias("node_id")))
-        one = rows.select(F.lit(corpus).alias("corpus"), F.lit(cname).alias("seg"), "chain_id", "pos", "node_id")
-        out = one if out is None else out.unionByName(one)
-    lone = tokens(graph)
-    if out is not None:
-        lone = lone.join(out.filter("seg = ''"), ["corpus", "node_id"], "left_anti")
-    lone = lone.select("corpus", F.lit("").alias("seg"), F.col("node_id").alias("chain_id"), F.lit(0).cast("bigint").alias("pos"), "node_id")
-    return lone if out is None else out.unionByName(lone)
+    by = ["corpus", "layer", "cname"]
+    links = graph.component("Ordering").filter((F.col("layer") != ANNIS) | (F.col("cname") == "")).select(*by, "source", "target").na.drop(subset=["source", "target"])
+    n = numbered(links, by, "target", "source")
+    placed = forest(n.links, "node", "up").filter("not cyclic").select("node", "root", "depth")
+    first = n.links.select(F.col("up").alias("node")).distinct().join(n.links.select("node"), "node", "left_anti")
+    rows = placed.unionByName(first.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth")))
+    on = cut(n.named(rows, "node", "root").select("corpus", F.col("cname").alias("seg"), F.col("root").alias("chain_id"), F.col("depth").alias("pos"), F.col("node").alias("node_id")))
+    lone = tokens(graph).join(on.filter("seg = ''"), ["corpus", "node_id"], "left_anti")
+    return on.unionByName(lone.select("corpus", F.lit("").alias("seg"), F.col("node_id").alias("chain_id"), F.lit(0).cast("bigint").alias("pos"), "node_id"))
 
 
 def tokens(graph: Graph) -> DataFrame:
@@ -47,7 +40,7 @@ def coverage(graph: Graph) -> DataFrame:
     toks = tokens(graph)
     down = graph.edge.filter(F.col("ctype").isin("Coverage", "Dominance"))
     own = toks.select("corpus", "node_id", F.col("node_id").alias("tok_id"))
-    reached = pairs(down, ANY_DISTANCE, single_parent=False).select("corpus", F.col("source").alias("node_id"), F.col("target").alias("tok_id"))
+    reached = pairs(down, ANY_DISTANCE, None, toks.select("corpus", F.col("node_id").alias("target"))).select("corpus", F.col("source").alias("node_id"), F.col("target").alias("tok_id"))
     return own.unionByName(reached.join(toks.withColumnRenamed("node_id", "tok_id"), ["corpus", "tok_id"], "left_semi").select("corpus", "node_id", "tok_id")).distinct()
 
 

@@ -68,14 +68,14 @@ def holds(op: Operator, i: int, j: int) -> Column:
     return F.coalesce(m[op.kind](), F.lit(False))
 
 
-def edge_pairs(graph: Graph, op: Operator, starts: DataFrame | None = None) -> DataFrame:
+def edge_pairs(graph: Graph, op: Operator, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(corpus, source, target) of an edge operator; direct edges of several layers come once."""
     ctype = EDGES[op.kind]
     edges = graph.component(ctype) if op.kind == "part_of" else graph.component(ctype, op.name)
     if op.edge is not None:
         labels = graph.edge_anno.filter((F.col("ctype") == ctype) & (F.col("cname") == op.name)).filter(edge_condition(op.edge))
         return labels.select("corpus", "source", "target").distinct()
-    return pairs(edges, op.dist, starts, depth=graph.depth.get(ctype), layered=graph.layered)
+    return pairs(edges, op.dist, starts, ends, graph.depth.get(ctype), graph.layered, "target" if op.kind == "part_of" else "source")
 
 
 def _joined(left: DataFrame, right: DataFrame, cond: Column) -> DataFrame:
@@ -105,7 +105,7 @@ def _band(left: DataFrame, right: DataFrame, chains: tuple[str, str], end: str,
 def relate(graph: Graph, left: DataFrame, right: DataFrame, op: Operator, i: int, j: int) -> DataFrame:
     """Matches of ``left`` and ``right`` in relation ``op`` from node i to node j."""
     if op.kind in EDGES:
-        p = edge_pairs(graph, op, left.select("corpus", F.col(f"m{i}").alias("source"))).select(F.col("corpus").alias("_pc"), F.col("source").alias("_ps"), F.col("target").alias("_pt"))
+        p = edge_pairs(graph, op, left.select("corpus", F.col(f"m{i}").alias("source")), right.select("corpus", F.col(f"m{j}").alias("target"))).select(F.col("corpus").alias("_pc"), F.col("source").alias("_ps"), F.col("target").alias("_pt"))
         half = left.join(p, (F.col("corpus") == F.col("_pc")) & (F.col(f"m{i}") == F.col("_ps")))
         return _joined(half, right, F.col("_pt") == F.col(f"m{j}")).drop("_pc", "_ps", "_pt")
     if op.kind in ("precedence", "near"):
@@ -143,7 +143,7 @@ def holds_raw(op: Operator, i: int, j: int) -> Column:
 def restrict(graph: Graph, df: DataFrame, op: Operator, i: int, j: int, negated: bool) -> DataFrame:
     """Rows whose nodes i and j are (or, negated, aren't) in relation."""
     if op.kind in EDGES:
-        p = edge_pairs(graph, op, df.select("corpus", F.col(f"m{i}").alias("source"))).select(F.col("corpus").alias("_pc"), F.col("source").alias("_ps"), F.col("target").alias("_pt"))
+        p = edge_pairs(graph, op, df.select("corpus", F.col(f"m{i}").alias("source")), df.select("corpus", F.col(f"m{j}").alias("target"))).select(F.col("corpus").alias("_pc"), F.col("source").alias("_ps"), F.col("target").alias("_pt"))
         cond = (F.col("corpus") == F.col("_pc")) & (F.col(f"m{i}") == F.col("_ps")) & (F.col(f"m{j}") == F.col("_pt"))
         return df.join(p, cond, "left_anti" if negated else "left_semi")
     cond = holds(op, i, j)

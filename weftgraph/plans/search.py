@@ -69,7 +69,7 @@ def scan(graph: Graph, search: Search, i: int, with_value: bool = False) -> Data
         return shaped(toks, True, F.lit(None).cast("string"))
     if search.kind == "token":
         hit = graph.anno.filter((F.col("ns") == ANNIS) & (F.col("name") == "tok") & value_condition(F.col("value"), search.value, search.regex, search.negated))
-        if search.leafs_only:
+        if search.leafs_only and not graph.texts_are_tokens:
             covering = graph.component("Coverage").select("corpus", F.col("source").alias("node_id")).distinct()
             hit = hit.join(covering, ["corpus", "node_id"], "left_anti")
         return shaped(hit, True, F.col("value"))

@@ -43,7 +43,7 @@ def among(graph: Graph, keep: DataFrame, ctypes: list[str] | None = None, gaps:
 
 def _ancestors(graph: Graph, nodes: DataFrame) -> DataFrame:
     part_of = graph.component("PartOf")
-    above = pairs(part_of, ANY_DISTANCE, nodes.select("corpus", F.col("node_id").alias("source")), depth=graph.depth.get("PartOf"))
+    above = pairs(part_of, ANY_DISTANCE, nodes.select("corpus", F.col("node_id").alias("source")), None, graph.depth.get("PartOf"), graph.layered, "target")
     return above.join(nodes.select("corpus", F.col("node_id").alias("source")).distinct(), ["corpus", "source"], "left_semi").select("corpus", F.col("target").alias("node_id")).distinct()
 
 
@@ -94,7 +94,7 @@ def for_query(graph: Graph, query: Query | str, ctypes: list[str] | None = None)
 def subcorpus(graph: Graph, names: list[str]) -> Graph:
     """The (sub)corpora named, and all nodes and datasources below them."""
     roots = graph.node.filter(F.col("node_name").isin(names)).select("corpus", F.col("node_id").alias("target"))
-    below = pairs(graph.component("PartOf"), ANY_DISTANCE, depth=graph.depth.get("PartOf")).join(roots, ["corpus", "target"], "left_semi").select("corpus", F.col("source").alias("node_id"))
+    below = pairs(graph.component("PartOf"), ANY_DISTANCE, None, roots, graph.depth.get("PartOf"), graph.layered, "target").join(roots, ["corpus", "target"], "left_semi").select("corpus", F.col("source").alias("node_id"))
     kinds = graph.node.filter(F.col("node_type").isin("node", "datasource", "corpus")).select("corpus", "node_id")
     return among(graph, below.join(kinds, ["corpus", "node_id"], "left_semi").unionByName(roots.withColumnRenamed("target", "node_id")))
 

@@ -1,11 +1,16 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults, lineage cuts and stored intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.files import Files
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "weftgraph") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
@@ -15,6 +20,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -22,14 +28,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master where the setting is absent."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
-    wanted = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
+    wanted = sc.getConf().get("spark.checkpoint.dir")
+    if not wanted:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     sc.setCheckpointDir(wanted)
-    return wanted
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a table of columns, for what is read often and in part; it lasts as long as the session."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        Files(spark, path).delete(path)

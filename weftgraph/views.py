@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from .functions.values import BLANKS
 from .plans.graph import ANNIS, SCHEMAS, Graph
+from .session import stored
 from .tables import table
 
 #: Numbers of other kinds of nodes begin here.
@@ -74,6 +75,8 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
     seq = ev.withColumn("pos", (F.row_number().over(by_time) - 1).cast("bigint")).withColumn("new", new).withColumn("session", F.sum("new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.min("event_id").over(Window.partitionBy("user_id", "session"))
     seq = seq.withColumn("session_id", (first + SESSION).cast("bigint"))
+    before = F.lag("event_id").over(by_time)
+    seq = stored(seq.select("event_id", "user_id", "pos", "session_id", before.alias("before")))
     users = ev.select("user_id").distinct()
     c = "evt"
     user = F.col("user_id") + USER
@@ -90,9 +93,8 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
         _labels(seq.select("session_id").distinct(), c, F.col("session_id"), ("evt", "session", F.lit("yes"))),
         _labels(users, c, user, (ANNIS, "doc", F.concat(F.lit("u"), F.col("user_id")))),
     )
-    before = F.lag("event_id").over(by_time)
     edge = _all(
-        _edges(seq.withColumn("before", before).filter("before is not null"), c, "Ordering", ANNIS, "", F.col("before"), F.col("event_id")),
+        _edges(seq.filter("before is not null"), c, "Ordering", ANNIS, "", F.col("before"), F.col("event_id")),
         _edges(seq, c, "Coverage", ANNIS, "", F.col("session_id"), F.col("event_id")),
         _edges(ev, c, "PartOf", ANNIS, "", F.col("event_id"), user),
         _edges(seq.select("session_id", "user_id").distinct(), c, "PartOf", ANNIS, "", F.col("session_id"), user),
@@ -104,13 +106,13 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
 
     def spans() -> DataFrame:
         members = seq.select(F.lit(c).alias("corpus"), F.col("session_id").alias("node_id"), F.col("user_id").alias("chain_id"), "pos", F.col("event_id").alias("tok_id"))
-        return _self_spans(chain()).unionByName(_wide_spans(members))
+        return _self_spans(chain()).unionByName(stored(_wide_spans(members)))
 
     def coverage() -> DataFrame:
         own = ev.select(F.lit(c).alias("corpus"), F.col("event_id").alias("node_id"), F.col("event_id").alias("tok_id"))
         return own.unionByName(seq.select(F.lit(c).alias("corpus"), F.col("session_id").alias("node_id"), F.col("event_id").alias("tok_id")))
 
-    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chain, "span": spans, "coverage": coverage}, {"PartOf": 2}, False)
+    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chain, "span": spans, "coverage": coverage}, {"PartOf": 2}, False, True)
 
 
 @lru_cache(maxsize=16)
@@ -118,6 +120,7 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
     li, orders, customer, nation, region, supplier, part = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region", "supplier", "part"))
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", (F.row_number().over(by_line) - 1).cast("bigint").alias("pos")).withColumn("item", F.col("l_orderkey") * 1000 + F.col("pos"))
+    li = stored(li)
     order, cust, nat, reg, supp, prt = F.col("o_orderkey") + ORDER, F.col("c_custkey") + CUSTOMER, F.col("n_nationkey").cast("bigint") + NATION, F.col("r_regionkey").cast("bigint") + REGION, F.col("s_suppkey") + SUPPLIER, F.col("p_partkey") + PART
     c, item = "ord", F.col("item")
     node = _all(
@@ -152,18 +155,19 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
 
     def spans() -> DataFrame:
         members = li.select(F.lit(c).alias("corpus"), line_order.alias("node_id"), F.col("l_orderkey").alias("chain_id"), "pos", item.alias("tok_id"))
-        return _self_spans(chain()).unionByName(_wide_spans(members))
+        return _self_spans(chain()).unionByName(stored(_wide_spans(members)))
 
     def coverage() -> DataFrame:
         return li.select(F.lit(c).alias("corpus"), item.alias("node_id"), item.alias("tok_id")).unionByName(li.select(F.lit(c).alias("corpus"), line_order.alias("node_id"), item.alias("tok_id")))
 
-    return Graph(node, anno, edge, edge_anno, {"tok_pos": chain, "span": spans, "coverage": coverage}, {"Dominance": 4}, False)
+    return Graph(node, anno, edge, edge_anno, {"tok_pos": chain, "span": spans, "coverage": coverage}, {"Dominance": 4}, False, True)
 
 
 @lru_cache(maxsize=16)
 def corpus_graph(spark: SparkSession, d: str) -> Graph:
     nodes, edges, annos, keys = (table(spark, d, t) for t in ("nodes", "edges", "node_annos", "anno_keys"))
     own = nodes.groupBy("node_id").agg(*[F.min(c).alias(c) for c in ("corpus_ref", "text_id", "node_name", "token_index", "left_token", "right_token", "span_text")])
+    own = stored(own)
     c = "gra"
     placed = own.filter("corpus_ref is not null and text_id is not null")
     chain_id = (F.col("corpus_ref") * 100_000 + F.col("text_id")).cast("bigint")
@@ -173,8 +177,10 @@ def corpus_graph(spark: SparkSession, d: str) -> Graph:
     trimmed = F.btrim(F.col("val"), F.lit(BLANKS))
     value = F.when(~trimmed.isin("", "NULL"), trimmed)
     labels = named.select("node_id", F.col("anno_ns").alias("ns"), F.col("anno_name").alias("name"), value.alias("value")).filter("value is not null").groupBy("node_id", "ns", "name").agg(F.min("value").alias("value"))
+    labels = stored(labels)
     anno = labels.select(F.lit(c).alias("corpus"), "node_id", "ns", "name", "value").unionByName(_labels(own.filter("token_index is not null"), c, F.col("node_id"), (ANNIS, "tok", F.col("span_text"))))
     edge = edges.filter("source is not null and target is not null and ctype <> 'PartOf'").select(F.lit(c).alias("corpus"), "ctype", F.col("anno_layer").alias("layer"), "cname", "source", "target").dropDuplicates()
+    edge = stored(edge)
 
     def chain() -> DataFrame:
         return toks.select(F.lit(c).alias("corpus"), F.lit("").alias("seg"), chain_id.alias("chain_id"), F.col("token_index").cast("bigint").alias("pos"), "node_id")
@@ -185,7 +191,7 @@ def corpus_graph(spark: SparkSession, d: str) -> Graph:
         left = wide.join(at.select("chain_id", F.col("pos").alias("left_token"), F.col("tok").alias("left_tok")), ["chain_id", "left_token"], "left")
         both = left.join(at.select("chain_id", F.col("pos").alias("right_token"), F.col("tok").alias("right_tok")), ["chain_id", "right_token"], "left")
         spans_wide = both.select(F.lit(c).alias("corpus"), "node_id", F.lit(False).alias("is_token"), "chain_id", F.col("left_token").cast("bigint").alias("left_pos"), F.col("right_token").cast("bigint").alias("right_pos"), "left_tok", "right_tok")
-        return _self_spans(chain()).unionByName(spans_wide)
+        return _self_spans(chain()).unionByName(stored(spans_wide))
 
     def coverage() -> DataFrame:
         own_toks = own.filter("token_index is not null").select(F.lit(c).alias("corpus"), "node_id", F.col("node_id").alias("tok_id"))
