@@ -37,7 +37,7 @@ r AS (SELECT r_regionkey + 4000000000000000 AS id, * FROM region)
 """
 #: The cleaned graph of nodes, edges and node_annos.
 _GRA = """WITH RECURSIVE nd AS (SELECT node_id, min(corpus_ref) AS corpus_ref, min(text_id) AS text_id, min(token_index) AS pos, min(left_token) AS l, min(right_token) AS r FROM nodes GROUP BY node_id),
-a AS (SELECT node_id AS id, anno_ns AS ns, anno_name AS name, min(trim(val, ' ' || chr(9) || chr(160))) AS value FROM node_annos JOIN anno_keys USING (anno_key) WHERE trim(val, ' ' || chr(9) || chr(160)) NOT IN ('', 'NULL') GROUP BY ALL),
+a AS (SELECT node_id AS id, anno_ns AS ns, anno_name AS name, min(trim(nfc_normalize(val), ' ' || chr(9) || chr(160))) AS value FROM node_annos JOIN anno_keys USING (anno_key) WHERE trim(nfc_normalize(val), ' ' || chr(9) || chr(160)) NOT IN ('', 'NULL') GROUP BY ALL),
 d AS (SELECT DISTINCT source, target FROM edges WHERE ctype = 'Dominance' AND cname = '' AND source IS NOT NULL AND target IS NOT NULL)
 """
 
@@ -212,7 +212,7 @@ def s8_most_frequent(spark: SparkSession, d: str) -> DataFrame:
     return subgraph.node_values(views.orders_graph(spark, d), only_most_frequent=True).filter("ns = 'ord'").select("ns", "name", "value")
 
 
-@verb("s8_components", "SELECT ctype, anno_layer AS layer, cname, count(DISTINCT (source, target)) AS n_edges FROM edges WHERE source IS NOT NULL AND target IS NOT NULL AND ctype <> 'PartOf' GROUP BY ALL")
+@verb("s8_components", "SELECT ctype, anno_layer AS layer, cname, count(DISTINCT (source, target)) AS n_edges FROM edges WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL")
 def s8_components(spark: SparkSession, d: str) -> DataFrame:
     return subgraph.components(views.corpus_graph(spark, d)).select("ctype", "layer", "cname", "n_edges")
 
@@ -246,15 +246,16 @@ def i10_inherited_coverage(spark: SparkSession, d: str) -> DataFrame:
     return index.coverage(views.orders_graph(spark, d)).select("node_id", "tok_id")
 
 
-@verb("i9_updates", "WITH k AS (SELECT user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS nr FROM events), l AS (SELECT user_id, max_by(event_type, nr) AS value FROM k WHERE event_type <> 'signup' GROUP BY user_id) SELECT 'u' || user_id AS node, value FROM l WHERE value <> 'error'")
+@verb("i9_updates", "WITH k AS (SELECT user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS nr FROM events), l AS (SELECT user_id, max_by(event_type, nr) FILTER (event_type <> 'signup') AS value FROM k GROUP BY user_id) SELECT 'u' || user_id AS node, value FROM l WHERE value <> 'error'")
 def i9_updates(spark: SparkSession, d: str) -> DataFrame:
-    """Users as nodes whose label follows their events: an error takes it away, a signup changes nothing."""
-    ev = table(spark, d, "events").filter("event_type <> 'signup'")
+    """Users as nodes whose label follows their events: an error takes it away, a signup adds the node again and changes nothing."""
+    ev = table(spark, d, "events")
     nr = (F.col("ts").cast("timestamp").cast("double") * 1_000_000).cast("bigint")
     text = [F.lit(None).cast("string").alias(c) for c in ("source", "target", "ctype", "layer", "cname")]
     node = F.concat(F.lit("u"), F.col("user_id")).alias("node")
     users = ev.select("user_id").distinct().select(F.lit(-10).cast("bigint").alias("nr"), F.lit("add_node").alias("kind"), node, F.lit("node").alias("node_type"), *text, *[F.lit(None).cast("string").alias(c) for c in ("ns", "name", "value")])
     gone = F.col("event_type") == "error"
-    labels = ev.select(nr.alias("nr"), F.when(gone, "delete_node_label").otherwise("add_node_label").alias("kind"), node, F.lit(None).cast("string").alias("node_type"), *text, F.lit("evt").alias("ns"), F.lit("last").alias("name"), F.when(~gone, F.col("event_type")).alias("value"))
+    again = F.col("event_type") == "signup"
+    labels = ev.select(nr.alias("nr"), F.when(again, "add_node").when(gone, "delete_node_label").otherwise("add_node_label").alias("kind"), node, F.lit(None).cast("string").alias("node_type"), *text, F.lit("evt").alias("ns"), F.lit("last").alias("name"), F.when(~gone, F.col("event_type")).alias("value"))
     g = apply_updates(empty_graph(spark), users.unionByName(labels), "users")
     return g.anno.join(g.node, ["corpus", "node_id"]).select(F.col("node_name").alias("node"), "value")

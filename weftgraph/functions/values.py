@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLANKS = " \t\u00a0"
 DATE_FORMS = (r"^(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})$", r"^(?P<d>[0-9]{2})\.(?P<m>[0-9]{2})\.(?P<y>[0-9]{4})$", r"^(?P<y>[0-9]{4})(?P<m>[0-9]{2})(?P<d>[0-9]{2})$")
@@ -28,6 +30,17 @@ def clean(val: pa.Array) -> pa.Array:
     return pc.if_else(pc.or_(pc.equal(v, ""), pc.equal(v, "NULL")), pa.scalar(None, pa.string()), v)
 
 
+def cleaned(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``clean`` applied to a column."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([clean(x) if i == at else x for i, x in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _integer(v: pa.Array) -> pa.Array:
     ok = pc.match_substring_regex(v, r"^[+-]?[0-9]{1,9}$")
     return pc.if_else(ok, pc.cast(pc.cast(pc.replace_substring_regex(pc.if_else(ok, v, "0"), r"^\+", ""), pa.int64()), pa.string()), pa.scalar(None, pa.string()))

@@ -72,3 +72,19 @@ class Graph:
         if name is not None:
             e = e.filter(F.col("cname") == name)
         return e if layer is None else e.filter(F.col("layer") == layer)
+
+
+def united(graphs: list[Graph]) -> Graph:
+    """One graph over several corpora."""
+    if len(graphs) == 1:
+        return graphs[0]
+
+    def union(t: str) -> DataFrame:
+        out = getattr(graphs[0], t)
+        for g in graphs[1:]:
+            out = out.unionByName(getattr(g, t))
+        return out
+
+    depth = {c: max(g.depth[c] for g in graphs) for c in graphs[0].depth if all(c in g.depth for g in graphs)}
+    derive = {t: (lambda t=t: union(t)) for t in ("tok_pos", "span", "coverage")}
+    return Graph(*(union(t) for t in ("node", "anno", "edge", "edge_anno")), derive, depth, any(g.layered for g in graphs), all(g.texts_are_tokens for g in graphs))

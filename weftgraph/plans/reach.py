@@ -20,6 +20,8 @@ from ..session import cut
 
 #: Up to so many steps a walk is one plan of joins, without writing between them.
 UNROLLED = 6
+#: Steps between two writings of a longer one.
+STRIDE = 4
 
 
 def pairs(edges: DataFrame, dist: Range, starts: DataFrame | None = None, ends: DataFrame | None = None, depth: int | None = None, layered: bool = True, parent: str = "source") -> DataFrame:
@@ -181,11 +183,15 @@ def _by_steps(direct: DataFrame, dist: Range, starts: DataFrame | None, ends: Da
     while dist.high is None or length < dist.high:
         walk = walk.join(nxt, ["corpus", "at"]).filter(~F.array_contains("path", F.col("to"))).select("corpus", "source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         length += 1
-        if not unrolled:
+        written = not unrolled and length % STRIDE == 0
+        if written:
             walk = cut(walk)
         if length >= dist.low:
             hit = walk.select("corpus", "source", F.col("at").alias("target"))
             out = hit if out is None else out.unionByName(hit)
-        if not unrolled and not walk.limit(1).count():
-            break
+        if written:
+            if not walk.limit(1).count():
+                break
+            if out is not None:
+                out = cut(out.distinct())
     return direct.limit(0) if out is None else out.distinct()

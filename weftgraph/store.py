@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .aql.analyze import node_descriptions, parse
 from .plans import execute as run
 from .plans import subgraph
-from .plans.graph import SCHEMAS, Graph
+from .plans.graph import SCHEMAS, Graph, united
 from .plans.index import indexed
 from .sources.graphml import export_graphml, import_graphml
 from .sources.relannis import import_relannis
@@ -72,16 +72,7 @@ class CorpusStore:
         one = [self._graph(n) for n in sorted(set(names))]
         if not one:
             raise KeyError("no corpus named")
-        if len(one) == 1:
-            return one[0]
-
-        def union(t: str) -> DataFrame:
-            out = getattr(one[0], t)
-            for g in one[1:]:
-                out = out.unionByName(getattr(g, t))
-            return out
-
-        return Graph(*(union(t) for t in _STORED[:4]), {t: (lambda t=t: union(t)) for t in _STORED[4:]})
+        return united(one)
 
     def _graph(self, corpus: str) -> Graph:
         if corpus not in self.cached:

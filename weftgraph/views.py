@@ -1,12 +1,14 @@
 """Annotation graphs over the driver's tables.
 
 ``events``: every event is a token of its user's chain, in order of time;
-sessions (no gap over 30 minutes) are spans; users are documents.
+sessions (no gap over 30 minutes) are spans; users are documents. Purchases
+are the segmentation "buy". Events point to the next ("next", to which users
+point too, and "round", closed to a cycle).
 ``orders``: every lineitem is a token of its order's chain and order; regions
 dominate nations, customers, orders and lineitems; lineitems point to
 suppliers and parts.
-``corpus``: the tables nodes, edges and node_annos, cleaned of repetitions;
-tokens stand in the chain of their text.
+``corpus``: the tables nodes, edges, corpora and node_annos, cleaned of
+repetitions; tokens stand in the chain of their text.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .functions.values import BLANKS
+from .functions.skew import lookup_join
+from .functions.values import cleaned
 from .plans.graph import ANNIS, SCHEMAS, Graph
 from .session import stored
 from .tables import table
 
 #: Numbers of other kinds of nodes begin here.
 SESSION, USER, ROOT = 1_000_000_000_000, 2_000_000_000_000, 3_000_000_000_000
-ORDER, CUSTOMER, NATION, REGION, SUPPLIER, PART = (k * 1_000_000_000_000_000 for k in range(1, 7))
+ORDER, CUSTOMER, NATION, REGION, SUPPLIER, PART, CORPUS = (k * 1_000_000_000_000_000 for k in range(1, 8))
 
 
 def _labels(df: DataFrame, corpus: str, node: Column, *labels: tuple[str, str, Column]) -> DataFrame:
@@ -33,9 +36,9 @@ def _labels(df: DataFrame, corpus: str, node: Column, *labels: tuple[str, str, C
     return _all(*[df.select(F.lit(corpus).alias("corpus"), node.cast("bigint").alias("node_id"), F.lit(ns).alias("ns"), F.lit(name).alias("name"), value.cast("string").alias("value")).filter("value is not null") for ns, name, value in labels])
 
 
-def _edges(df: DataFrame, corpus: str, ctype: str, layer: str, cname: str, source: Column, target: Column) -> DataFrame:
+def _edges(df: DataFrame, corpus: str, ctype: str, layer: str, cname: str, source: Column, target: Column, *more: str) -> DataFrame:
     lit = [F.lit(v).alias(n) for n, v in zip(("corpus", "ctype", "layer", "cname"), (corpus, ctype, layer, cname))]
-    return df.select(*lit, source.cast("bigint").alias("source"), target.cast("bigint").alias("target"))
+    return df.select(*lit, source.cast("bigint").alias("source"), target.cast("bigint").alias("target"), *more)
 
 
 def _nodes(df: DataFrame, corpus: str, node: Column, name: Column, kind: str = "node") -> DataFrame:
@@ -76,7 +79,8 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
     first = F.min("event_id").over(Window.partitionBy("user_id", "session"))
     seq = seq.withColumn("session_id", (first + SESSION).cast("bigint"))
     before = F.lag("event_id").over(by_time)
-    seq = stored(seq.select("event_id", "user_id", "pos", "session_id", before.alias("before")))
+    last = F.when(F.col("pos") == 0, F.last("event_id").over(by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    seq = stored(seq.select("event_id", "user_id", "pos", "session_id", before.alias("before"), last.alias("last")))
     users = ev.select("user_id").distinct()
     c = "evt"
     user = F.col("user_id") + USER
@@ -96,6 +100,9 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
     edge = _all(
         _edges(seq.filter("before is not null"), c, "Ordering", ANNIS, "", F.col("before"), F.col("event_id")),
         _edges(seq, c, "Coverage", ANNIS, "", F.col("session_id"), F.col("event_id")),
+        _edges(seq.filter("before is not null"), c, "Pointing", "evt", "next", F.col("before"), F.col("event_id")),
+        _edges(seq.filter("pos = 5"), c, "Pointing", "evt", "next", user, F.col("event_id")),
+        _edges(seq, c, "Pointing", "evt", "round", F.coalesce("before", "last"), F.col("event_id")),
         _edges(ev, c, "PartOf", ANNIS, "", F.col("event_id"), user),
         _edges(seq.select("session_id", "user_id").distinct(), c, "PartOf", ANNIS, "", F.col("session_id"), user),
         _edges(users, c, "PartOf", ANNIS, "", user, F.lit(ROOT)),
@@ -104,6 +111,10 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
     def chain() -> DataFrame:
         return seq.select(F.lit(c).alias("corpus"), F.lit("").alias("seg"), F.col("user_id").alias("chain_id"), "pos", F.col("event_id").alias("node_id"))
 
+    def chains() -> DataFrame:
+        bought = ev.filter("event_type = 'purchase'").withColumn("pos", (F.row_number().over(by_time) - 1).cast("bigint"))
+        return chain().unionByName(bought.select(F.lit(c).alias("corpus"), F.lit("buy").alias("seg"), F.col("user_id").alias("chain_id"), "pos", F.col("event_id").alias("node_id")))
+
     def spans() -> DataFrame:
         members = seq.select(F.lit(c).alias("corpus"), F.col("session_id").alias("node_id"), F.col("user_id").alias("chain_id"), "pos", F.col("event_id").alias("tok_id"))
         return _self_spans(chain()).unionByName(stored(_wide_spans(members)))
@@ -112,7 +123,7 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
         own = ev.select(F.lit(c).alias("corpus"), F.col("event_id").alias("node_id"), F.col("event_id").alias("tok_id"))
         return own.unionByName(seq.select(F.lit(c).alias("corpus"), F.col("session_id").alias("node_id"), F.col("event_id").alias("tok_id")))
 
-    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chain, "span": spans, "coverage": coverage}, {"PartOf": 2}, False, True)
+    return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chains, "span": spans, "coverage": coverage}, {"PartOf": 2}, False, True)
 
 
 @lru_cache(maxsize=16)
@@ -147,8 +158,11 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
         _edges(li, c, "Pointing", "tpch", "part", item, F.col("l_partkey") + PART),
         _edges(supplier, c, "Pointing", "tpch", "loc", supp, F.col("s_nationkey").cast("bigint") + NATION),
     )
-    own = [F.lit(v).alias(n) for n, v in zip(("corpus", "ctype", "layer", "cname"), (c, "Pointing", "tpch", "sup"))]
-    edge_anno = li.select(*own, item.alias("source"), (F.col("l_suppkey") + SUPPLIER).alias("target"), F.lit("li").alias("ns"), F.lit("flag").alias("name"), F.col("l_returnflag").alias("value"))
+    labelled = lambda e, name, value: e.withColumns({"ns": F.lit("li"), "name": F.lit(name), "value": F.col(value)}).drop(value)
+    edge_anno = _all(
+        labelled(_edges(li, c, "Pointing", "tpch", "sup", item, F.col("l_suppkey") + SUPPLIER, "l_returnflag"), "flag", "l_returnflag"),
+        labelled(_edges(li, c, "Dominance", "tpch", "", line_order, item, "l_linestatus"), "status", "l_linestatus"),
+    )
 
     def chain() -> DataFrame:
         return li.select(F.lit(c).alias("corpus"), F.lit("").alias("seg"), F.col("l_orderkey").alias("chain_id"), "pos", item.alias("node_id"))
@@ -165,7 +179,7 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
 
 @lru_cache(maxsize=16)
 def corpus_graph(spark: SparkSession, d: str) -> Graph:
-    nodes, edges, annos, keys = (table(spark, d, t) for t in ("nodes", "edges", "node_annos", "anno_keys"))
+    nodes, edges, annos, keys, corpora = (table(spark, d, t) for t in ("nodes", "edges", "node_annos", "anno_keys", "corpora"))
     own = nodes.groupBy("node_id").agg(*[F.min(c).alias(c) for c in ("corpus_ref", "text_id", "node_name", "token_index", "left_token", "right_token", "span_text")])
     own = stored(own)
     c = "gra"
@@ -173,13 +187,15 @@ def corpus_graph(spark: SparkSession, d: str) -> Graph:
     chain_id = (F.col("corpus_ref") * 100_000 + F.col("text_id")).cast("bigint")
     toks = placed.filter("token_index is not null")
     node = _nodes(own, c, F.col("node_id"), F.concat(F.lit("gra/"), F.coalesce(F.col("corpus_ref").cast("string"), F.lit("")), F.lit("#"), F.coalesce("node_name", F.lit("")), F.lit("_"), F.col("node_id")))
-    named = annos.join(F.broadcast(keys) if keys.limit(100_001).count() <= 100_000 else keys, "anno_key")
-    trimmed = F.btrim(F.col("val"), F.lit(BLANKS))
-    value = F.when(~trimmed.isin("", "NULL"), trimmed)
-    labels = named.select("node_id", F.col("anno_ns").alias("ns"), F.col("anno_name").alias("name"), value.alias("value")).filter("value is not null").groupBy("node_id", "ns", "name").agg(F.min("value").alias("value"))
+    top = corpora.select((F.col("corpus_id") + CORPUS).alias("id")).filter("id is not null").distinct()
+    node = node.unionByName(_nodes(top, c, F.col("id"), F.concat(F.lit("gra/c"), F.col("id") - CORPUS), "corpus"))
+    named = lookup_join(annos.select("node_id", "anno_key", "val"), keys.select("anno_key", F.col("anno_ns").alias("ns"), F.col("anno_name").alias("name")), ["anno_key"])
+    labels = cleaned(named.select("node_id", "ns", "name", F.col("val").alias("value")), "value").filter("value is not null").groupBy("node_id", "ns", "name").agg(F.min("value").alias("value"))
     labels = stored(labels)
     anno = labels.select(F.lit(c).alias("corpus"), "node_id", "ns", "name", "value").unionByName(_labels(own.filter("token_index is not null"), c, F.col("node_id"), (ANNIS, "tok", F.col("span_text"))))
-    edge = edges.filter("source is not null and target is not null and ctype <> 'PartOf'").select(F.lit(c).alias("corpus"), "ctype", F.col("anno_layer").alias("layer"), "cname", "source", "target").dropDuplicates()
+    offset = F.when(F.col("ctype") == "PartOf", F.lit(CORPUS)).otherwise(0)
+    real = edges.filter("source is not null and target is not null")
+    edge = real.select(F.lit(c).alias("corpus"), "ctype", F.col("anno_layer").alias("layer"), "cname", (F.col("source") + offset).alias("source"), (F.col("target") + offset).alias("target")).dropDuplicates()
     edge = stored(edge)
 
     def chain() -> DataFrame:
