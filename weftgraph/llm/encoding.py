@@ -41,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters that the tables of known lines and of known words may hold in a worker; a full one is emptied.
 KNOWN_CHARS = 16_000_000
+#: Arcs that a worker remembers; a full table is emptied.
+ARCS = 1_000_000
 #: Rows of an output batch.
 ROWS = 500
 #: A line's text with the white space before it. It ends before white space, so the next begins at a word boundary.
@@ -108,6 +110,8 @@ class Automaton:
         """Whether the finished automaton goes from state s over token t."""
         known = self.arcs.get((s, t))
         if known is None:
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             known = self.arcs[s, t] = self._arc(s, t)
         return known
 
@@ -156,6 +160,8 @@ class Automaton:
                 starts.pop()
                 if path:
                     dead.add((at, path.pop()))
+        if n:
+            raise ValueError(f"no path of the automaton spells {word!r}")
         return path
 
     def decode(self, ids: list[int]) -> bytes:
