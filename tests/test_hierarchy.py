@@ -55,3 +55,22 @@ def test_corpus(spark):
     assert got == {("corpus", "1"): (1, 0), ("corpus", "2"): (1, 1), ("corpus", "3"): (3, -1), ("corpus", "4"): (4, 0), ("text", "2/0"): (1, 2), ("text", "3/1"): (3, -1), ("syntax", "10"): (10, 0), ("syntax", "11"): (10, 1), ("syntax", "12"): (10, 2), ("syntax", "13"): (13, 0)}
     tree = h.hierarchy(corpora.selectExpr("corpus_id as node"), e.filter("ctype = 'PartOf'"), "source", "target", True)
     assert {tuple(r) for r in h.descendants(tree).collect()} == {(1, 2, 1)}
+
+
+@pytest.mark.parametrize("case", ["many blocks", "cycle by doubling", "self loops and repeats", "empty"])
+def test_ancestors(spark, case):
+    make, block = CASES[case]
+    links = make(random.Random(3))
+    parent = {}
+    for c, p in links:
+        if c is not None and p is not None:
+            parent[c] = min(p, parent.get(c, p))
+    want = set()
+    for n in parent:
+        seen, x = [n], parent[n]
+        while x is not None and x not in seen:
+            want.add((n, x, len(seen)))
+            seen.append(x)
+            x = parent.get(x)
+    got = [tuple(r) for r in h.ancestors(spark.createDataFrame(links, "c long, p long"), "c", "p", block).collect()]
+    assert set(got) == want and len(got) == len(want)

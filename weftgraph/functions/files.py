@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import shutil
+
 from pyspark.sql import SparkSession
 
 
@@ -12,6 +15,7 @@ class Files:
         self._jvm = spark._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.setWriteChecksum(False)
         self.root = root.rstrip("/")
 
     def at(self, *parts: str) -> str:
@@ -24,20 +28,6 @@ class Files:
         """What lies in a folder, in order; nothing if there is no such folder."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path))) if self.exists(path) else []
 
-    def walk(self, path: str) -> list[str]:
-        """All files below a folder."""
-        found, todo = [], [self._path(path)]
-        while todo:
-            for s in self._fs.listStatus(todo.pop()):
-                if s.isDirectory():
-                    todo.append(s.getPath())
-                else:
-                    found.append(s.getPath().toString())
-        return sorted(found)
-
-    def make(self, path: str) -> None:
-        self._fs.mkdirs(self._path(path))
-
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -61,10 +51,63 @@ class Files:
         if not self._fs.rename(self._path(new), self._path(path)):
             raise OSError(f"can't write {path}")
 
-    def fetch(self, path: str, local: str) -> None:
-        """Copies a file to this machine."""
-        self._fs.copyToLocalFile(False, self._path(path), self._path(local), True)
+    def open(self, path: str) -> io.BufferedReader:
+        """A file to read from, at any place."""
+        return io.BufferedReader(_Source(self._fs, self._path(path)), _BUFFER)
+
+    def create(self, path: str) -> io.BufferedWriter:
+        """A new file to write to, with the folders that it needs."""
+        return io.BufferedWriter(_Sink(self._fs.create(self._path(path), True)), _BUFFER)
+
+    def copy(self, source: str, target: str) -> None:
+        with self.open(source) as a, self.create(target) as b:
+            shutil.copyfileobj(a, b, _BUFFER)
+
+
+_BUFFER = 1 << 20
+
+
+class _Source(io.RawIOBase):
+    def __init__(self, fs, path):
+        self._stream, self._size = fs.open(path), fs.getFileStatus(path).getLen()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        to += (0, self._stream.getPos(), self._size)[whence]
+        self._stream.seek(to)
+        return to
+
+    def tell(self) -> int:
+        return self._stream.getPos()
+
+    def readinto(self, into) -> int:
+        got = bytes(self._stream.readNBytes(len(into)))
+        into[: len(got)] = got
+        return len(got)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
+class _Sink(io.RawIOBase):
+    def __init__(self, stream):
+        self._stream = stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._stream.write(bytearray(data))
+        return len(data)
 
-    def send(self, local: str, path: str) -> None:
-        """Copies a file of this machine, creating the folders that it needs."""
-        self._fs.copyFromLocalFile(False, True, self._path(local), self._path(path))
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()

@@ -172,6 +172,26 @@ def forest(links: DataFrame, node: str, parent: str, paths: bool = False, block:
     return final.select("node", F.col("top").alias("root"), F.when(F.col("cyclic"), F.lit(-1)).otherwise(F.col("off")).cast("bigint").alias("depth"), "cyclic", *[path] * paths)
 
 
+def around(links: DataFrame, tree: DataFrame) -> DataFrame | None:
+    """(node, above, far) of what lies on or below cycles, nodes of one parent each; nothing if there are none.
+
+    Each cycle is cut above its smallest node, which leaves a tree. A node's
+    way up ends there, goes on at the other side of the cut, and meets what of
+    the cycle it hasn't met before.
+    """
+    on = tree.filter("cyclic").select("node", "root")
+    if not on.limit(1).count():
+        return None
+    mine = cut(links.join(on, "node").distinct())
+    grown = forest(mine.filter("node <> root"), "node", "up", paths=True).select("node", "root", "depth", "path")
+    heads = mine.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("node").alias("path"))
+    grown = cut(grown.unionByName(heads))
+    rings = mine.filter("node = root").select("up").join(grown.withColumnRenamed("node", "up"), "up").select("root", (F.col("depth") + 1).alias("length"), F.posexplode("path").alias("pos", "above"))
+    up = grown.select("node", "path", "depth", F.posexplode("path").alias("pos", "above")).select("node", "above", (F.col("depth") - F.col("pos")).alias("far"))
+    over = grown.join(rings, "root").filter(~F.array_contains("path", F.col("above"))).select("node", "above", (F.col("depth") + F.col("length") - F.col("pos")).alias("far"))
+    return up.unionByName(over).filter("node <> above")
+
+
 @dataclass
 class Numbered:
     """Links between nodes that are named by their id and some further columns, brought to one number a node."""
@@ -219,8 +239,17 @@ def hierarchy(nodes: DataFrame, links: DataFrame, node: str, parent: str, paths:
     return j.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), *[F.when(none, F.array("node")).otherwise(F.col("path")).alias("path")] * paths)
 
 
+def ancestors(links: DataFrame, node: str, parent: str, block: int = BLOCK_LINKS) -> DataFrame:
+    """(node, above, far) of every node and what lies above it, cycles included; a node with several parents keeps the smallest."""
+    one = cut(links.select(F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("up")).na.drop().groupBy("node").agg(F.min("up").alias("up")))
+    tree = cut(forest(one, "node", "up", True, block))
+    steps = tree.filter("not cyclic").select("node", "depth", F.posexplode("path").alias("pos", "above")).select("node", "above", (F.col("depth") - F.col("pos")).alias("far")).filter("far > 0")
+    loops = around(one, tree)
+    return steps if loops is None else steps.unionByName(loops)
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(node, descendant, distance): every node and what lies below it, from the paths; nodes into cycles have none."""
+    """(node, descendant, distance): every node and what lies below it, from the paths; nodes into cycles have none here (``ancestors`` has them)."""
     steps = tree.filter("path is not null").select(F.col("node").alias("descendant"), F.col("depth").alias("far"), F.posexplode("path").alias("pos", "node"))
     return steps.filter(F.col("node") != F.col("descendant")).select("node", "descendant", (F.col("far") - F.col("pos")).cast("bigint").alias("distance"))
 
@@ -249,3 +278,18 @@ def corpus_hierarchies(corpora: DataFrame, texts: DataFrame, edges: DataFrame, p
         *[F.when(~F.col("cyclic"), F.array_append(F.col("path").cast("array<string>"), F.col("key"))).alias("path")] * paths,
     )
     return named(tree, "corpus").unionByName(named(words, "syntax")).unionByName(text)
+
+
+def corpus_descendants(corpora: DataFrame, texts: DataFrame, edges: DataFrame, block: int = BLOCK_LINKS) -> DataFrame:
+    """(hier, node_key, descendant_key, distance): every corpus, text and syntax node below each other node, what lies on or below cycles included."""
+    known = corpora.select(F.col("corpus_id").cast("bigint").alias("node")).na.drop().distinct()
+    part = ancestors(_component(edges, "PartOf", "annis"), "source", "target", block).join(known, "node", "left_semi")
+    syntax = ancestors(_component(edges, "Dominance", "syntax"), "target", "source", block)
+    keys = lookup_join(texts.select(F.col("corpus_ref").alias("node"), "text_id").na.drop().distinct(), known, ["node"])
+    above = part.unionByName(known.select("node", F.col("node").alias("above"), F.lit(0).cast("bigint").alias("far")))
+    text = salted_join(keys, above, ["node"]).select(F.concat(F.col("node").cast("string"), F.lit("/"), F.col("text_id").cast("string")).alias("node"), "above", (F.col("far") + 1).alias("far"))
+    out = None
+    for hier, df in (("corpus", part), ("syntax", syntax), ("text", text)):
+        one = df.select(F.lit(hier).alias("hier"), F.col("above").cast("string").alias("node_key"), F.col("node").cast("string").alias("descendant_key"), F.col("far").cast("bigint").alias("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,7 +7,7 @@ counted (``columns``) and at last handed to the constructors of its typed
 fields (``value``). The first reason that applies counts.
 
 Defined cases: a null line or one of a source without a layout has no fields
-and is put aside as ``columns``; an empty line has one empty field; lines of
+and is put aside as ``columns``; an empty line has no fields either; lines of
 any length are read whole; repeated lines give repeated rows; further columns
 of the input are left out; an empty input gives empty outputs.
 """
@@ -149,12 +149,14 @@ def construct(fields: list[str | None] | None, layout: Layout | None) -> tuple[d
     return (row, None) if layout.whole(row) else (None, "value")
 
 
-def parse_lines(lines: DataFrame, layouts: dict[str, Layout] = LAYOUTS, line_id: str = "line_id", src: str = "src_file", raw: str = "raw") -> DataFrame:
+def parse_lines(lines: DataFrame, layouts: dict[str, Layout] = LAYOUTS, line_id: str = "line_id", src: str = "src_file", raw: str = "raw", wanted: Iterable[str] | None = None) -> DataFrame:
     """One row a line: line_id, src_file, reason (null where it loads) and one struct of typed fields for each layout.
 
-    ``loaded`` and ``rejected`` take their part of it. One narrow pass, no shuffle.
+    ``loaded`` and ``rejected`` take their part of it. ``wanted`` names the
+    sources whose typed rows are handed on; those of the others are built, as
+    that is how their values are checked, and dropped. One narrow pass, no shuffle.
     """
-    keys = sorted(layouts)
+    keys = sorted(layouts if wanted is None else wanted)
     cols = {k: "row_" + re.sub(r"\W", "_", k) for k in keys}
     arrow = {"bigint": pa.int64(), "string": pa.string()}
     structs = {k: pa.struct([(n, arrow[t]) for n, t, _ in layouts[k].fields]) for k in keys}
@@ -169,7 +171,7 @@ def parse_lines(lines: DataFrame, layouts: dict[str, Layout] = LAYOUTS, line_id:
             for i, (f, fields) in enumerate(zip(files, read_records(raws.to_pylist()))):
                 row, why = construct(fields, layouts.get(f))
                 reasons.append(why)
-                if row is not None:
+                if row is not None and f in rows:
                     rows[f][i] = row
             yield pa.RecordBatch.from_arrays([ids, sources, pa.array(reasons, pa.string()), *(pa.array(rows[k], structs[k]) for k in keys)], names=["line_id", "src_file", "reason", *cols.values()])
 

@@ -67,3 +67,17 @@ def indexed(graph: Graph) -> Graph:
         "span": lambda: once("span", lambda: spans(graph.tok_pos, graph.coverage)),
     }
     return graph
+
+
+def hints(graph: Graph) -> dict:
+    """What a stored graph is known to be like, so that its queries can do without some joins."""
+    covering = graph.component("Coverage").select("corpus", F.col("source").alias("node_id"))
+    text = graph.anno.filter((F.col("ns") == ANNIS) & (F.col("name") == "tok")).select("corpus", "node_id")
+    twice = graph.edge.groupBy("corpus", "ctype", "cname", "source", "target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    part_of = graph.component("PartOf").select("corpus", "source", "target")
+    depth = {}
+    if not part_of.groupBy("corpus", "source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        tree = forest(numbered(part_of, ["corpus"], "source", "target").links, "node", "up").agg(F.max("depth").alias("depth"), F.max(F.col("cyclic").cast("int")).alias("cyclic")).first()
+        if not tree.cyclic:
+            depth = {"PartOf": tree.depth or 0}
+    return {"depth": depth, "layered": bool(twice.limit(1).count()), "texts_are_tokens": not text.join(covering, ["corpus", "node_id"], "left_semi").limit(1).count()}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..aql.model import Range
-from ..operators.hierarchy import forest, numbered
+from ..operators.hierarchy import around, forest, numbered
 from ..session import cut
 
 #: Up to so many steps a walk is one plan of joins, without writing between them.
@@ -98,36 +98,16 @@ def _by_paths(direct: DataFrame, dist: Range, child: str, starts: DataFrame | No
     far = F.col("depth") - F.col("pos")
     named = n.named(tree.filter("not cyclic").select(F.col("node").alias(child), "depth", "path"), child)
     steps = _among(named, wanted, child).select("corpus", child, F.posexplode("path").alias("pos", "above"), "depth").select("corpus", child, "above", far.alias("far"))
-    loops = _around(n.links, tree)
+    loops = around(n.links, tree)
     if loops is not None:
-        around = n.named(loops.select(F.col("node").alias(child), "above", "far"), child)
-        steps = steps.unionByName(_among(around, wanted, child).select(*steps.columns))
+        turns = n.named(loops.select(F.col("node").alias(child), "above", "far"), child)
+        steps = steps.unionByName(_among(turns, wanted, child).select(*steps.columns))
     out = steps.filter((F.col("far") >= max(dist.low, 1)) & (F.lit(True) if dist.high is None else F.col("far") <= dist.high)).select("corpus", child, F.col("above").alias(parent))
     if n.ids is not None:
         out = out.join(n.ids.select(F.col("_id").alias(parent), "_node"), parent).select("corpus", child, F.col("_node").alias(parent))
     return _among(out, above, parent).select("corpus", "source", "target")
 
 
-def _around(links: DataFrame, tree: DataFrame) -> DataFrame | None:
-    """(node, above, far) of what lies on or below cycles; nothing if there are none.
-
-    Each cycle is cut above its smallest node, which leaves a tree. A node's
-    way up ends there, goes on at the other side of the cut, and meets what of
-    the cycle it hasn't met before.
-    """
-    on = tree.filter("cyclic").select("node", "root")
-    if not on.limit(1).count():
-        return None
-    mine = cut(links.join(on, "node").distinct())
-    grown = forest(mine.filter("node <> root"), "node", "up", paths=True).select("node", "root", "depth", "path")
-    heads = mine.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("node").alias("path"))
-    grown = cut(grown.unionByName(heads))
-    rings = mine.filter("node = root").select("up").join(grown.withColumnRenamed("node", "up"), "up").select("root", (F.col("depth") + 1).alias("length"), F.posexplode("path").alias("pos", "above"))
-    up = grown.select("node", "path", "depth", F.posexplode("path").alias("pos", "above")).select("node", "above", (F.col("depth") - F.col("pos")).alias("far"))
-    over = grown.join(rings, "root").filter(~F.array_contains("path", F.col("above"))).select("node", "above", (F.col("depth") + F.col("length") - F.col("pos")).alias("far"))
-    return up.unionByName(over).filter("node <> above")
-
-
 def _closure(direct: DataFrame, ends: DataFrame | None) -> DataFrame:
     """All pairs with a path between them.
 
@@ -141,7 +121,7 @@ def _closure(direct: DataFrame, ends: DataFrame | None) -> DataFrame:
     into = cut(links.join(joint, "node", "left_semi").select(F.col("node").alias("top"), F.col("up").alias("entry")))
     tree = cut(forest(links.join(joint, "node", "left_anti"), "node", "up", paths=True))
     single = tree.filter("not cyclic").select("node", F.explode("path").alias("above")).filter("node <> above")
-    loops = _around(links, tree)
+    loops = around(links, tree)
     if loops is not None:
         single = single.unionByName(loops.select("node", "above"))
     single = cut(single)

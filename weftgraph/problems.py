@@ -52,12 +52,12 @@ c AS (SELECT line_id, src_file, f, CASE
 
 @query(_PARSED + "SELECT line_id, reason FROM c WHERE reason IS NOT NULL")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return records.rejected(records.parse_lines(table(spark, d, "raw_lines"))).distinct()
+    return records.rejected(records.parse_lines(table(spark, d, "raw_lines"), wanted=())).distinct()
 
 
 @query(_PARSED + "SELECT line_id, CAST(f[1] AS BIGINT) AS corpus_ref, CAST(f[2] AS BIGINT) AS text_id, f[3] AS text_name, f[4] AS val FROM c WHERE reason IS NULL AND src_file = 'text.annis'")
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    return records.loaded(records.parse_lines(table(spark, d, "raw_lines")), "text.annis")
+    return records.loaded(records.parse_lines(table(spark, d, "raw_lines"), wanted=["text.annis"]), "text.annis")
 
 
 @query(
@@ -67,7 +67,7 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     + " FROM c WHERE reason IS NULL AND src_file = 'node.annis'"
 )
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return records.loaded(records.parse_lines(table(spark, d, "raw_lines")), "node.annis")
+    return records.loaded(records.parse_lines(table(spark, d, "raw_lines"), wanted=["node.annis"]), "node.annis")
 
 
 # 2. Frequency of every distinct value
@@ -132,10 +132,15 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     return _trees(spark, d, True).filter("path IS NOT NULL").select("hier", "node_key", F.array_join("path", " ").alias("path"))
 
 
-@query(_TREES + ", s AS (SELECT hier, node_key AS descendant_key, depth, unnest(path) AS node_key, generate_subscripts(path, 1) - 1 AS pos FROM f WHERE path IS NOT NULL) SELECT hier, node_key, descendant_key, depth - pos AS distance FROM s WHERE node_key <> descendant_key")
+@query(
+    _TREES
+    + """, u AS (SELECT hier, node, list_transform(CASE WHEN looped THEN seen[2:] ELSE seen END, lambda x: CAST(x AS VARCHAR)) AS up FROM e),
+v AS (SELECT hier, CAST(node AS VARCHAR) AS descendant_key, up FROM u UNION ALL SELECT 'text', corpus_ref || '/' || text_id, list_append(up, corpus_ref || '/' || text_id) FROM k JOIN u ON u.hier = 'corpus' AND u.node = k.corpus_ref),
+s AS (SELECT hier, descendant_key, unnest(up) AS node_key, len(up) - generate_subscripts(up, 1) AS distance FROM v) SELECT hier, node_key, descendant_key, distance FROM s WHERE distance > 0"""
+)
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    steps = _trees(spark, d, True).filter("path IS NOT NULL").select("hier", F.col("node_key").alias("descendant_key"), "depth", F.posexplode("path").alias("pos", "node_key"))
-    return steps.filter("node_key <> descendant_key").select("hier", "node_key", "descendant_key", (F.col("depth") - F.col("pos")).alias("distance"))
+    """What lies on or below a cycle has its descendants too."""
+    return hierarchy.corpus_descendants(table(spark, d, "corpora"), table(spark, d, "texts"), table(spark, d, "edges"))
 
 
 # 4. References to records that don't exist

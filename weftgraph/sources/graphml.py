@@ -1,26 +1,28 @@
 """Graphs from and to GraphML files.
 
-A file is read as a stream on one machine, like the format demands (keys
-before nodes before edges), into Parquet tables from which everything else is
-distributed. Nodes come before edges whatever their order in the file.
+A file of any file system is read as a stream by the driver, like the format
+demands (keys before nodes before edges), and written to Parquet tables batch
+by batch, from which everything else is distributed. Nodes come before edges
+whatever their order in the file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
+from io import TextIOWrapper
+from pathlib import PurePath
+from typing import BinaryIO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.graph import ANNIS, SCHEMAS, Graph
+from ..functions.files import Files
+from ..plans.graph import ANNIS, Graph
 
 #: Component types by name.
 CTYPES = ("Coverage", "Dominance", "Pointing", "Ordering", "LeftToken", "RightToken", "PartOf")
-#: Rows that are held before they are written.
-BATCH = 100_000
 _NODE_TYPE, _NODE_NAME = f"{ANNIS}::node_type", f"{ANNIS}::node_name"
 
 
@@ -29,12 +31,15 @@ def _qname(text: str) -> tuple[str, str]:
     return (ns, name) if sep else ("", text)
 
 
-def read_events(path: str) -> Iterator[tuple]:
+def read_events(file: BinaryIO) -> Iterator[tuple]:
     """("node", name, type), ("label", node, ns, name, value), ("edge", source, target, ctype, layer, cname), ("edge_label", the edge's five, ns, name, value), ("config", text)."""
     keys: dict[str, str] = {}
-    with open(path, "rb") as f:
-        for _, el in ElementTree.iterparse(f, ("end",)):
-            tag = el.tag.rpartition("}")[2]
+    graph = None
+    for step, el in ElementTree.iterparse(file, ("start", "end")):
+        tag = el.tag.rpartition("}")[2]
+        if step == "start":
+            graph = el if tag == "graph" else graph
+        else:
             if tag == "key":
                 keys[el.get("id")] = el.get("attr.name")
             elif tag in ("node", "edge"):
@@ -53,18 +58,21 @@ def read_events(path: str) -> Iterator[tuple]:
                         for k, v in dict(data).items():
                             yield "edge_label", *edge, *_qname(k), v
                 el.clear()
+                if graph is not None:  # what was read doesn't stay there either
+                    graph.clear()
             elif tag == "data" and el.get("key") == "k0" and el.text and "k0" not in keys:
                 yield "config", el.text
 
 
-def import_graphml(spark: SparkSession, path: str, corpus: str | None = None) -> Graph:
-    """The graph of a file under the name of ``corpus`` (the file's name without ending)."""
+def import_graphml(spark: SparkSession, path: str, corpus: str | None = None, file: BinaryIO | None = None) -> Graph:
+    """The graph of a file under the name of ``corpus`` (the file's name without ending); ``file`` where it was opened already."""
     from .updates import graph_of_events
 
-    return graph_of_events(spark, read_events(path), corpus or Path(path).stem)
+    with file or Files(spark, path).open(path) as f:
+        return graph_of_events(spark, read_events(f), corpus or PurePath(path).stem)
 
 
-def export_graphml(graph: Graph, path: str, stable: bool = False, config: str | None = None) -> None:
+def export_graphml(graph: Graph, path: str, stable: bool = False, config: str | None = None, file: BinaryIO | None = None) -> None:
     """Writes one file; ``stable`` orders nodes by name and edges by their ends. Derived components are left out."""
     node = graph.node.select("corpus", "node_id", "node_name", "node_type")
     names = graph.node.select("corpus", F.col("node_id"), F.col("node_name"))
@@ -94,7 +102,7 @@ def export_graphml(graph: Graph, path: str, stable: bool = False, config: str |
     def qname(x) -> str:
         return f"{x.ns}::{x.name}" if x.ns else x.name
 
-    with open(path, "w", encoding="utf-8") as f:
+    with TextIOWrapper(file or Files(graph.node.sparkSession, path).create(path), "utf-8", newline="\n") as f:
         f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml>\n')
         f.writelines([*key_rows(graph.anno, "node"), *key_rows(graph.edge_anno, "edge")])
         f.write('  <graph edgedefault="directed" parse.order="nodesfirst" parse.nodeids="free" parse.edgeids="canonical">\n')
@@ -107,4 +115,4 @@ def export_graphml(graph: Graph, path: str, stable: bool = False, config: str |
         f.write("  </graph>\n</graphml>\n")
 
 
-__all__ = ["BATCH", "SCHEMAS", "export_graphml", "import_graphml", "read_events"]
+__all__ = ["export_graphml", "import_graphml", "read_events"]

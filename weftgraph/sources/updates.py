@@ -12,16 +12,21 @@ aggregates over the events, no loop.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import Files
 from ..plans.graph import SCHEMAS, Graph
 from ..plans.index import indexed
-from ..session import cut
+from ..session import checkpoint_dir, cut
 
 EVENT_SCHEMA = "nr bigint, kind string, node string, node_type string, source string, target string, ctype string, layer string, cname string, ns string, name string, value string"
+#: Events that are held before they are written, and the number from which on those of edges are counted.
+BATCH, EDGES_FROM = 100_000, 1 << 50
 _EDGE = ["source", "target", "ctype", "layer", "cname"]
 
 
@@ -29,22 +34,30 @@ def event(nr: int, kind: str, **of) -> tuple:
     return (nr, kind, *(of.get(c) for c in ("node", "node_type", "source", "target", "ctype", "layer", "cname", "ns", "name", "value")))
 
 
-def events_of(items: Iterable[tuple]) -> list[tuple]:
-    """Update events from a reader's items, nodes and their labels first."""
-    nodes, edges = [], []
-    for kind, *x in items:
+def events_of(items: Iterable[tuple]) -> Iterator[tuple]:
+    """Update events from a reader's items; those of edges come after all of nodes by their numbers."""
+    for i, (kind, *x) in enumerate(items):
         if kind == "node":
-            nodes.append(("add_node", {"node": x[0], "node_type": x[1]}))
+            yield event(i, "add_node", node=x[0], node_type=x[1])
         elif kind == "label":
-            nodes.append(("add_node_label", {"node": x[0], "ns": x[1], "name": x[2], "value": x[3]}))
+            yield event(i, "add_node_label", node=x[0], ns=x[1], name=x[2], value=x[3])
         elif kind in ("edge", "edge_label"):
             of = dict(zip(("source", "target", "ctype", "layer", "cname"), x[:5]))
-            edges.append(("add_edge", of) if kind == "edge" else ("add_edge_label", of | {"ns": x[5], "name": x[6], "value": x[7]}))
-    return [event(i, k, **of) for i, (k, of) in enumerate([*nodes, *edges])]
-
-
-def graph_of_events(spark: SparkSession, items: Iterable[tuple], corpus: str) -> Graph:
-    return apply_updates(empty_graph(spark), spark.createDataFrame(events_of(items), EVENT_SCHEMA), corpus)
+            if kind == "edge_label":
+                of |= {"ns": x[5], "name": x[6], "value": x[7]}
+            yield event(i + EDGES_FROM, f"add_{kind}", **of)
+
+
+def graph_of_events(spark: SparkSession, items: Iterable[tuple], corpus: str, batch: int = BATCH) -> Graph:
+    """The graph that a reader's items tell of; they are written to the shared folder by batches as they are read."""
+    files = Files(spark, f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}")
+    events = events_of(items)
+    while rows := list(islice(events, batch)):
+        spark.createDataFrame(rows, EVENT_SCHEMA).write.mode("append").parquet(files.root)
+    told = spark.read.schema(EVENT_SCHEMA).parquet(files.root) if files.exists(files.root) else spark.createDataFrame([], EVENT_SCHEMA)
+    graph = apply_updates(empty_graph(spark), told, corpus)
+    files.delete(files.root)  # they were read into checkpoints
+    return graph
 
 
 def empty_graph(spark: SparkSession) -> Graph:
