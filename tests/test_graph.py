@@ -340,6 +340,12 @@ def test_store(spark, graph, tmp_path):
     assert again == "again" and store.count("again", "cat >* tok").first()[0] == execute(graph, "cat >* tok").count()
     assert store.frequency("root", "tok", ["1:annis::tok"]).count() == 2 and "Exchange" in store.plan("root", "tok . tok")
     assert store.with_timeout(store.count("root", "node"), 60)[0][0] == 15
+    with pytest.raises(TimeoutError):
+        store.with_timeout(spark.range(1 << 50).selectExpr("sum(hash(id))"), 0.5)
+    store.configure("other", "[context]\ndefault = 5\n")
+    assert store.configuration("other").startswith("[context]") and store.configuration("root") == ""
+    assert {(r.name, r.n) for r in store.info("root").collect()} >= {("node", 18), ("Dominance/x/", 5)}
+    assert store.graph("root").depth == {"PartOf": 2} and not store.graph("root").texts_are_tokens == any(s in TOKENS for s in SPANS)
     folder = tmp_path / "in"
     spark.createDataFrame([event(0, "add_node", node="root/d1#new", node_type="node")], EVENT_SCHEMA).write.json(str(folder))
     follow(spark.readStream.schema(EVENT_SCHEMA).json(str(folder)), store, "root", str(tmp_path / "cp")).awaitTermination()

@@ -1,6 +1,7 @@
 import pytest
 
 from weftgraph.plans.execute import execute
+from weftgraph.sources import updates
 from weftgraph.sources.graphml import export_graphml, import_graphml
 from weftgraph.sources.relannis import NULL_VALUE, import_relannis
 
@@ -34,7 +35,7 @@ def told(g):
     )
 
 
-def test_relannis_and_graphml(spark, relannis, tmp_path):
+def test_relannis_and_graphml(spark, relannis, tmp_path, monkeypatch):
     g = import_relannis(spark, relannis)
     nodes, labels, edges, edge_labels = told(g)
     a, b = "root%3A%20x/d", "root%3A%20x/d_duplicated_document_name_2"
@@ -44,7 +45,9 @@ def test_relannis_and_graphml(spark, relannis, tmp_path):
     assert edge_labels == {(f"{a}#t1", f"{a}#t2", "Pointing", "lay", "dep", "x", "func", "subj")}
     assert execute(g, "tok").count() == 3 and execute(g, '"one\\1" .norm "two2"').count() == 1 and execute(g, 'tok ->dep[func="subj"] tok').count() == 1
     export_graphml(g, str(tmp_path / "a.graphml"), stable=True)
-    again = import_graphml(spark, str(tmp_path / "a.graphml"), "root: x")
+    with monkeypatch.context() as m:
+        m.setattr(updates.graph_of_events, "__defaults__", (7,))  # events in batches of seven
+        again = import_graphml(spark, str(tmp_path / "a.graphml"), "root: x")
     assert told(again) == (nodes, labels, edges, edge_labels)
     export_graphml(again, str(tmp_path / "b.graphml"), stable=True)
     assert (tmp_path / "a.graphml").read_text() == (tmp_path / "b.graphml").read_text()

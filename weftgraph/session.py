@@ -58,10 +58,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append((spark, path))
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def intact(spark: SparkSession) -> bool:
+    """Whether the session's stored tables are still there; if some are gone, none is counted on any longer."""
+    mine = [p for s, p in _tables if s is spark]
+    if all(Files(spark, p).exists(p) for p in mine):
+        return True
+    _tables[:] = [t for t in _tables if t[0] is not spark]
+    return False
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         Files(spark, path).delete(path)

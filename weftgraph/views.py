@@ -13,7 +13,8 @@ repetitions; tokens stand in the chain of their text.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 from .functions.skew import lookup_join
 from .functions.values import cleaned
 from .plans.graph import ANNIS, SCHEMAS, Graph
-from .session import stored
+from .session import intact, stored
 from .tables import table
 
 #: Numbers of other kinds of nodes begin here.
@@ -56,6 +57,24 @@ def _empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(SCHEMAS[name]))
 
 
+_graphs: dict[tuple, Graph] = {}
+
+
+def _kept(make: Callable[[SparkSession, str], Graph]) -> Callable[[SparkSession, str], Graph]:
+    """One graph for each session and directory, made again if someone took its stored tables away."""
+
+    def view(spark: SparkSession, d: str) -> Graph:
+        key = (make, spark, d)
+        if not intact(spark):
+            for k in [k for k in _graphs if k[1] is spark]:
+                del _graphs[k]
+        if key not in _graphs:
+            _graphs[key] = make(spark, d)
+        return _graphs[key]
+
+    return view
+
+
 def _self_spans(chain: DataFrame) -> DataFrame:
     """Spans of tokens, which begin and end with themselves."""
     return chain.select("corpus", "node_id", F.lit(True).alias("is_token"), "chain_id", F.col("pos").alias("left_pos"), F.col("pos").alias("right_pos"), F.col("node_id").alias("left_tok"), F.col("node_id").alias("right_tok"))
@@ -69,7 +88,7 @@ def _wide_spans(members: DataFrame) -> DataFrame:
     return one.select("corpus", "node_id", F.lit(False).alias("is_token"), "chain_id", F.col("a.pos").alias("left_pos"), F.col("b.pos").alias("right_pos"), F.col("a.tok_id").alias("left_tok"), F.col("b.tok_id").alias("right_tok"))
 
 
-@lru_cache(maxsize=16)
+@_kept
 def events_graph(spark: SparkSession, d: str) -> Graph:
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -126,7 +145,7 @@ def events_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(node, anno, edge, _empty(spark, "edge_anno"), {"tok_pos": chains, "span": spans, "coverage": coverage}, {"PartOf": 2}, False, True)
 
 
-@lru_cache(maxsize=16)
+@_kept
 def orders_graph(spark: SparkSession, d: str) -> Graph:
     li, orders, customer, nation, region, supplier, part = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region", "supplier", "part"))
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
@@ -177,7 +196,7 @@ def orders_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(node, anno, edge, edge_anno, {"tok_pos": chain, "span": spans, "coverage": coverage}, {"Dominance": 4}, False, True)
 
 
-@lru_cache(maxsize=16)
+@_kept
 def corpus_graph(spark: SparkSession, d: str) -> Graph:
     nodes, edges, annos, keys, corpora = (table(spark, d, t) for t in ("nodes", "edges", "node_annos", "anno_keys", "corpora"))
     own = nodes.groupBy("node_id").agg(*[F.min(c).alias(c) for c in ("corpus_ref", "text_id", "node_name", "token_index", "left_token", "right_token", "span_text")])
