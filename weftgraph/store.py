@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import threading
 import urllib.parse
 import uuid
 import zipfile
@@ -279,18 +280,29 @@ class CorpusStore:
         return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def with_timeout(self, df: DataFrame, seconds: float) -> list:
-        """Collects ``df``; its jobs are cancelled after that time."""
-        import threading
-        import uuid
-
-        tag, late = f"weftgraph-{uuid.uuid4().hex}", threading.Event()
-        timer = threading.Timer(seconds, lambda: (late.set(), self.spark.interruptTag(tag)))
-        self.spark.addTag(tag)
-        timer.start()
+        """Collects ``df``; after that time its jobs are cancelled, also those that begin only then, and TimeoutError is raised."""
+        tag, late, done = f"weftgraph-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+        sc = self.spark.sparkContext
+
+        def watch() -> None:
+            if not done.wait(seconds):
+                late.set()
+                while not done.wait(0.1):
+                    sc.cancelJobsWithTag(tag)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
+        watcher.start()
         try:
-            return df.collect()
+            rows = df.collect()
         except Exception as e:
             raise TimeoutError(f"no result after {seconds} s") if late.is_set() else e
         finally:
-            timer.cancel()
-            self.spark.removeTag(tag)
+            done.set()
+            watcher.join()
+            sc.setInterruptOnCancel(False)
+            sc.removeJobTag(tag)
+        if late.is_set():
+            raise TimeoutError(f"no result after {seconds} s")
+        return rows
